@@ -155,13 +155,13 @@ def encode_decode(docs: DataFrame, path: str, digest: bool = False, long_chars:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 cuts = c.cuts(text, segment_chars)
                 for i in range(len(cuts) - 1):
-                    yield pa.RecordBatch.from_pydict({"key": [key], "at": [i], "part": [text[cuts[i] : cuts[i + 1]]]})
+                    yield pa.RecordBatch.from_pydict({"key": [key], "at": pa.array([i], pa.int32()), "part": [text[cuts[i] : cuts[i + 1]]]})
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
             for key, at, part in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                yield pa.RecordBatch.from_pydict({"key": [key], "at": [at], "ids": [np.array(c.encode(part), np.int32).tobytes()]})
+                yield pa.RecordBatch.from_pydict({"key": [key], "at": pa.array([at], pa.int32()), "ids": [np.array(c.encode(part), np.int32).tobytes()]})
 
     def joined(table: pa.Table) -> pa.Table:
         c = codec(path)
