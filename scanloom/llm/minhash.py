@@ -2,18 +2,20 @@
 
 Each document's set of five-word shingles gets a signature of ``COORDS`` minima.  Each
 (coordinate, value) pair is posted with the documents that have it; pairs seen once
-are dropped.  Two documents match if ``MATCHES`` coordinates collide (a pair of
-similarity 0.75 falls short with probability below 3e-6).  Postings are merged in the
-order of their frequency: a document posts only its prefix, its rarest pairs but for
-MATCHES - 1 of them, which two matching documents must share, and skips those of the
-long lists; only then are collisions counted on whole signatures, and survivors are
-confirmed on full sets.
-
-No list is expanded into all its pairs.  Equal sets stand as one representative.
-First every document is tried against one pivot of each of its lists; what is
-confirmed forms components.  Then only lists with more than one component are
-joined with themselves, across components, with the count as the join's condition,
-so that links which could still change a component are all tried.
+are dropped.  Two documents of similarity 0.75 collide in fewer than ``MATCHES``
+coordinates with probability below 3e-6.  Postings are merged in the order of their
+frequency: a document posts only its prefix, its rarest pairs but for MATCHES - 1 of
+them, of which two matching documents must share one, and skips those of the long
+lists.
+
+No list is expanded into its pairs.  Equal sets stand as one representative.  In each
+list the documents are held against one pivot, picked by a hash; collisions are counted
+on whole signatures, and pairs above the match threshold ``RETAIN`` (well below MATCHES,
+as a pivot may be less like either of two documents than they are like each other) tie
+documents into families.  A family's full sets are dealt to tasks in blocks of
+``BLOCK_SHINGLES`` and pairs of blocks; a task counts common shingles by inverted lists
+and returns the links that its blocks need to hang together.  Components over those
+links are the result.
 
 Cases: null or empty texts and texts without words have an empty set and link with
 nothing; fewer than five words make one shingle; rows that share a doc_id count as one
@@ -36,6 +38,8 @@ from scanloom.llm.lineage import cut
 
 COORDS = 40
 MATCHES = 17
+RETAIN = 10
+BLOCK_SHINGLES = 1 << 20
 #: A pair is linked from this Jaccard similarity on, in hundredths.
 PERCENT = 75
 WIDTH = 5
@@ -99,22 +103,82 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets reach the similarity."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = cut(shingle_sets(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")), "sets")
-    a, b = (sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
-    common = F.size(F.array_intersect("sa", "sb"))
-    near = 100 * common >= percent * (F.size("sa") + F.size("sb") - common)
-    return pairs.join(a, "a").join(b, "b").filter(near).select("a", "b").distinct()
+def linked(ids: np.ndarray, block: np.ndarray, sizes: np.ndarray, shingles: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links that hang together what is similar among some documents, each given by its
+    id, block, set size and (one after another) shingles.  With two blocks, only links
+    between them are looked for."""
+    n = len(ids)
+    doc = np.repeat(np.arange(n), sizes)
+    _, code, often = np.unique(shingles, return_inverse=True, return_counts=True)
+    shared = often[code] > 1
+    doc, code = doc[shared], code[shared]
+    by = np.argsort(code, kind="stable")
+    start = np.searchsorted(code[by], np.arange(len(often) + 1))
+    lists = doc[by]
+    cuts = np.searchsorted(doc, np.arange(n + 1))
+    parent = list(range(n))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    out = []
+    two = block.min() != block.max()
+    for i in range(n):
+        mine = code[cuts[i] : cuts[i + 1]]
+        if 100 * len(mine) < percent * sizes[i] or (two and block[i] == block.max()):
+            continue
+        length = start[mine + 1] - start[mine]
+        at = np.repeat(start[mine] - (np.cumsum(length) - length), length) + np.arange(length.sum())
+        common = np.bincount(lists[at], minlength=n)
+        near = 100 * common >= percent * (sizes[i] + sizes - common)
+        near[: i + 1] &= two
+        for j in np.flatnonzero(near & (block != block[i]) if two else near):
+            a, b = root(i), root(int(j))
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                out.append((int(ids[i]), int(ids[j])))
+    return out
+
+
+def links(families: DataFrame, docs: DataFrame, percent: int = PERCENT, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """Links (a, b) of documents in families (doc_id, family, size) by their full sets."""
+    blocks = F.ceil(F.col("total") / block_shingles).cast("int")
+    total = families.groupBy("family").agg(F.sum("size").alias("total"))
+    dealt = families.join(total, "family").select("doc_id", "family", blocks.alias("blocks"), F.pmod(F.xxhash64("doc_id"), blocks).cast("int").alias("block"))
+    sets = shingle_sets(docs.select("doc_id", "text").join(dealt.select("doc_id"), "doc_id", "left_semi"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    rows = sets.join(dealt, "doc_id").withColumn("other", other).select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "block", "shingles")
 
-
-def near_duplicates(docs: DataFrame, coords: int = COORDS, matches: int = MATCHES, percent: int = PERCENT) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        table = pa.Table.from_batches(parts)
+        table = table.sort_by([(c, "ascending") for c in ("family", "i", "j", "doc_id")]).combine_chunks()
+        family, i, j, doc, block = (table.column(c).to_numpy() for c in ("family", "i", "j", "doc_id", "block"))
+        lists = table.column("shingles").combine_chunks()
+        offs, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+        new = np.ones(len(doc), bool)
+        new[1:] = (family[1:] != family[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+        edges = np.append(np.flatnonzero(new), len(doc))
+        out = []
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            if hi - lo > 1:
+                out += linked(doc[lo:hi], block[lo:hi], np.diff(offs[lo : hi + 1]), values[offs[lo] : offs[hi]], percent)
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return rows.repartition("family", "i", "j").mapInArrow(run, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, coords: int = COORDS, matches: int = MATCHES, percent: int = PERCENT, retain: int = RETAIN, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable over links) and kept
     (whether doc_id is that) for each row."""
     signed = cut(signatures(docs, coords), "signatures")
     real = signed.filter("n_shingles > 0 and doc_id is not null")
-    reps = cut(real.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")), "representatives")
+    reps = cut(real.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("signature").alias("signature")), "representatives")
 
     posted = reps.select("rep", F.explode("signature").alias("pair"))
     often = posted.groupBy("pair").agg(F.count("*").alias("n")).filter("n > 1")
@@ -122,24 +186,12 @@ def near_duplicates(docs: DataFrame, coords: int = COORDS, matches: int = MATCHE
     prefix = F.slice("pairs", F.lit(1), F.size("pairs") - (matches - 1))
     postings = cut(lists.select("rep", F.explode(prefix).alias("p")).select("rep", F.col("p.pair").alias("pair")), "postings")
 
-    sig = reps.select("rep", "signature")
-    sa, sb = (sig.select(F.col("rep").alias(x), F.col("signature").alias(f"sig_{x}")) for x in "ab")
-    collide = F.size(F.array_intersect("sig_a", "sig_b")) >= matches
+    sa, sb = (reps.select(F.col("rep").alias(x), F.col("signature").alias(f"sig_{x}")) for x in "ab")
     pivots = postings.groupBy("pair").agg(F.min_by("rep", F.xxhash64("pair", "rep")).alias("pivot"), F.count("*").alias("n")).filter("n > 1")
     tried = postings.join(pivots, "pair").filter("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
-    tried = cut(tried.join(sa, "a").join(sb, "b").filter(collide).select("a", "b"), "pivot-pairs")
-    links = cut(_confirmed(tried, docs, percent), "pivot-links")
-    known = components(links)
-
-    named = postings.join(known, postings["rep"] == known["node"], "left").select("pair", "rep", F.coalesce("component", "rep").alias("comp"))
-    named = cut(named, "named-postings")
-    open_ = named.groupBy("pair").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("pair")
-    left = cut(named.join(open_, "pair", "left_semi").join(sig, "rep"), "open-postings")
-    one, two = (left.select("pair", F.col("rep").alias(x), F.col("comp").alias(f"c{x}"), F.col("signature").alias(f"sig_{x}")) for x in "ab")
-    across = one.join(two, "pair").filter(F.col("a") < F.col("b")).filter(F.col("ca") != F.col("cb")).filter(collide).select("a", "b").distinct()
-    across = cut(across.join(tried, ["a", "b"], "left_anti"), "cross-pairs")
-    more = _confirmed(across, docs, percent)
-    final = components(links.union(more))
+    kept = tried.join(sa, "a").join(sb, "b").filter(F.size(F.array_intersect("sig_a", "sig_b")) >= retain).select("a", "b")
+    families = components(kept).join(reps.select(F.col("rep").alias("node"), "size"), "node").select(F.col("node").alias("doc_id"), F.col("component").alias("family"), "size")
+    final = components(links(cut(families, "families"), docs, percent, block_shingles))
 
     named = reps.select("d1", "d2", "rep").join(final, F.col("rep") == final["node"], "left").select("d1", "d2", F.coalesce("component", "rep").alias("group_id"))
     out = signed.join(named, ["d1", "d2"], "left")
