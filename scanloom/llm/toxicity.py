@@ -3,8 +3,9 @@
 A logistic model over binary features (words and word beginnings of a text) is fitted
 on a bounded sample of labelled rows.  Each sample text that names an identity group
 is paired with its counterfactual, the same text with the group's term swapped for
-another of its list; the loss adds ``penalty`` times the squared change of score, so
-that a neutral mention of a group does not move a score.  Every whole text is scored.
+another of its list; the loss adds ``penalty`` times the squared change of score (in
+log-odds, where sure scores still show it), so that a neutral mention of a group does
+not move a score.  Every whole text is scored.
 
 Cases: null and empty texts have no features and get the score of the intercept; no
 labelled rows give the score 0; rows with a null label are not learned from; repeated
@@ -44,9 +45,9 @@ IDENTITY = (
 _TAGS = np.array([0x51ED270B, 0x9D2C5681, 0x2545F491, 0x6C078965], np.uint64)
 
 
-def word_hash(word: str) -> int:
-    b, o = tb.buffer(pa.array([word]))
-    return int(tb.mix(tb.words(b, o)[0] ^ _TAGS[0])[0])
+def word_features(word: str) -> list[int]:
+    """The feature of a word, then those of its beginnings."""
+    return features(*tb.buffer(pa.array([word])))[1].tolist()
 
 
 def features(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,11 +145,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, n
     chi2 = (a * n0 - b * n1) ** 2 * (n1 + n0) / (n1 * n0 * (a + b) * (n1 + n0 - a - b + 1))
     best = counts.filter(a + b >= LEAST_DOCS).withColumn("chi2", chi2).filter(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "key").limit(n_features)
     picked = np.array([r["key"] for r in best.select("key").collect()], np.int64).view(np.uint64)
-    swaps = {}
-    for words in identity:
-        hashes = [word_hash(w) for w in words]
-        swaps |= {h: hashes[(i + 1) % len(hashes)] for i, h in enumerate(hashes)}
-    keys = np.unique(np.concatenate([picked, np.array(list(swaps), np.uint64)]))
+    terms = [[word_features(w) for w in words] for words in identity]
+    swaps = [(own, words[(i + 1) % len(words)]) for words in terms for i, own in enumerate(words)]
+    keys = np.unique(np.concatenate([picked, np.array([h for own, _ in swaps for h in own], np.uint64)]))
 
     def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chosen = Chosen(keys)
@@ -163,29 +162,33 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, n
     rows = sample.mapInArrow(numbers, "toxic int, at array<int>").collect()
     drop(sample)
     y = np.array([r["toxic"] for r in rows], float)
-    swap = {int(np.searchsorted(keys, np.uint64(a))): int(np.searchsorted(keys, np.uint64(b))) for a, b in swaps.items()}
+    at = lambda hashes: [int(np.searchsorted(keys, np.uint64(h))) for h in hashes]
+    swap = {at(own)[0]: (set(at(own)), set(at(other))) for own, other in swaps}
     model = Model(keys, *_descend([r["at"] for r in rows], y, len(keys), swap, penalty))
     return model
 
 
-def _descend(rows: list[list[int]], y: np.ndarray, n: int, swap: dict[int, int], penalty: float, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Adam on the mean log loss + penalty * mean squared counterfactual change + L2."""
+def _descend(rows: list[list[int]], y: np.ndarray, n: int, swap: dict[int, tuple[set, set]], penalty: float, steps: int = 400) -> tuple[np.ndarray, float]:
+    """Adam on the mean log loss + penalty * mean squared change of log-odds + L2."""
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     col = np.fromiter((c for r in rows for c in r), np.int64, len(row))
-    pairs = [(i, [swap.get(c, c) for c in r]) for i, r in enumerate(rows) if any(c in swap for c in r)]
+    pairs = []
+    for i, r in enumerate(rows):
+        if terms := [swap[c] for c in r if c in swap]:
+            pairs.append((i, sorted((set(r) - set().union(*(own for own, _ in terms))) | set().union(*(other for _, other in terms)))))
     of = np.array([i for i, _ in pairs], np.int64)
     crow = np.repeat(np.arange(len(pairs)), [len(r) for _, r in pairs])
     ccol = np.fromiter((c for _, r in pairs for c in r), np.int64, len(crow))
     w, bias, m, v = np.zeros(n + 1), 0.0, np.zeros(n + 1), np.zeros(n + 1)
     for t in range(1, steps + 1):
-        s = 1 / (1 + np.exp(-(np.bincount(row, w[col], len(rows)) + w[n])))
+        z = np.bincount(row, w[col], len(rows)) + w[n]
+        s = 1 / (1 + np.exp(-z))
         dz = (s - y) / len(rows)
         grad = np.zeros(n + 1)
         if len(of):
-            c = 1 / (1 + np.exp(-(np.bincount(crow, w[ccol], len(of)) + w[n])))
-            d = 2 * penalty * (s[of] - c) / len(of)
-            dz = dz + np.bincount(of, d * s[of] * (1 - s[of]), len(rows))
-            dc = -d * c * (1 - c)
+            d = 2 * penalty * (z[of] - np.bincount(crow, w[ccol], len(of)) - w[n]) / len(of)
+            dz = dz + np.bincount(of, d, len(rows))
+            dc = -d
             grad[:n] += np.bincount(ccol, dc[crow], n)
             grad[n] += dc.sum()
         grad[:n] += np.bincount(col, dz[row], n) + 1e-4 * w[:n]
