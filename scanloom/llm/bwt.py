@@ -16,7 +16,7 @@ Three steps keep the work in proportion and each task's share bounded:
    the symbols before each suffix gives that for h + 1, and where neighbours first part
    is their common prefix.  No suffix of two shards is compared or sorted again.  After
    LENGTH bytes, intervals of more than one suffix are the repeated windows.  Symbols are
-   four bytes wide (a text is then four strings, by offset), so 50 passes do.
+   eight bytes wide (a text is then eight strings, by offset), so 25 passes do.
 
 An anchor with more than ``HOT`` kinds of stretches would be one task's; its windows are
 counted by hash over all tasks instead.  Hashes of anchors, stretches and hot windows
@@ -47,9 +47,9 @@ GRAM = 80
 #: Windows in a stretch at most; a longer one (periodic text) is cut, windows stay whole.
 STRETCH = 4096
 HOT = 20_000
-SHARD_BYTES = 1 << 15
-MERGE_BYTES = 1 << 17
-SYMBOL = 4
+SHARD_BYTES = 1 << 14
+MERGE_BYTES = 1 << 16
+SYMBOL = 8
 STRETCHES = "anchor long, whole long, key long, at long"
 
 
@@ -129,7 +129,7 @@ class Shard:
 
     def __init__(self, strings: list[np.ndarray], codes: np.ndarray):
         lengths = np.array([len(s) for s in strings])
-        base = np.concatenate([[0], np.cumsum(lengths + 1)])  # len - 3 symbols and 4 ends
+        base = np.concatenate([[0], np.cumsum(lengths + 1)])  # len - 7 symbols and 8 ends
         n = int(base[-1])
         symbol = np.zeros(n, np.int64)
         is_end = np.zeros(n, bool)
@@ -156,38 +156,42 @@ class Shard:
         string = np.repeat(np.arange(len(strings)), lengths + 1)
         place = order - base[string[order]]
         self.before = np.where(place >= SYMBOL, symbol[np.maximum(order - SYMBOL, 0)], 0)
+        self.back = np.where(place >= SYMBOL, rank[np.maximum(order - SYMBOL, 0)], 0)
         self.string, self.place = string[order], place
 
 
 def words_of(s: np.ndarray) -> np.ndarray:
-    """Each run of four bytes as a big-endian number."""
-    s = s.astype(np.uint32)
+    """Each run of SYMBOL bytes as a big-endian number."""
     m = len(s) - SYMBOL + 1
-    return (s[:m] << np.uint32(24)) | (s[1 : m + 1] << np.uint32(16)) | (s[2 : m + 2] << np.uint32(8)) | s[3 : m + 3]
+    out = np.zeros(m, np.uint64)
+    for j in range(SYMBOL):
+        out = (out << np.uint64(8)) | s[j : m + j]
+    return out
 
 
 def merge(shards: list[Shard], passes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave of the shards' suffixes (shard numbers), and where in it suffixes part
-    from their neighbour before within ``passes`` symbols."""
-    small = np.uint8 if len(shards) < 256 else np.uint32
-    z = np.repeat(np.arange(len(shards)), [len(s.order) for s in shards]).astype(small)
+    """Interleave of the shards' suffixes (numbered through the shards, each in its own
+    order), and where in it suffixes part from the one before within ``passes`` symbols."""
+    base = np.concatenate([[0], np.cumsum([len(s.order) for s in shards])]).astype(np.int32)
     most = max((int(s.before.max()) for s in shards), default=0)
     before = np.concatenate([s.before for s in shards]).astype(np.uint16 if most < 1 << 16 else np.uint32)
-    ends = np.repeat(np.arange(len(shards)), [s.ends for s in shards]).astype(small)
-    part = np.zeros(len(z), bool)
+    back = np.concatenate([s.back + b for s, b in zip(shards, base, strict=False)]).astype(np.int32)
+    ends = np.concatenate([np.arange(b, b + s.ends, dtype=np.int32) for s, b in zip(shards, base, strict=False)])
+    now = np.arange(base[-1], dtype=np.int32)
+    part = np.zeros(len(now), bool)
     part[:1] = True
-    symbols = np.empty_like(before)
     for _ in range(passes):
-        symbols[np.argsort(z, kind="stable")] = before
+        symbols = before[now]
         go = np.flatnonzero(symbols)  # no symbol before a string's first suffixes
-        order = go[np.argsort(symbols[go], kind="stable")]
-        block = np.cumsum(part)
-        now = np.ones(len(z), bool)
-        c, b = symbols[order], block[order]
-        now[len(ends) + 1 :] = (c[1:] != c[:-1]) | (b[1:] != b[:-1])
-        z = np.concatenate([ends, z[order]])
-        part = now
-    return z, part
+        symbols = symbols[go]
+        order = np.argsort(symbols, kind="stable")
+        c, b = symbols[order], np.cumsum(part, dtype=np.int32)[go][order]
+        part = np.ones(len(now), bool)
+        np.not_equal(c[1:], c[:-1], out=part[len(ends) + 1 :])
+        part[len(ends) + 1 :] |= b[1:] != b[:-1]
+        # A shard keeps its own order: the suffix one symbol longer is known by its number.
+        now = np.concatenate([ends, back[now[go][order]]])
+    return now, part
 
 
 def repeated_windows(strings: list[np.ndarray], length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> list[np.ndarray]:
@@ -203,13 +207,10 @@ def repeated_windows(strings: list[np.ndarray], length: int = LENGTH, shard_byte
             shards.append(Shard([strings[j] for j in now], codes))
             names.append(np.array(now))
             now, size = [], 0
-    z, part = merge(shards, length // SYMBOL)
+    now, part = merge(shards, length // SYMBOL)
     alone = part & np.append(part[1:], True)
-    back = np.argsort(z, kind="stable")
-    string = np.empty(len(z), np.int64)
-    place = np.empty(len(z), np.int64)
-    string[back] = np.concatenate([n[s.string] for n, s in zip(names, shards, strict=True)])
-    place[back] = np.concatenate([s.place for s in shards])
+    string = np.concatenate([n[s.string] for n, s in zip(names, shards, strict=True)])[now]
+    place = np.concatenate([s.place for s in shards])[now]
     lengths = np.array([len(s) for s in strings])
     hit = np.flatnonzero(~alone & (place <= lengths[string] - length))
     string, place = string[hit], place[hit]
@@ -225,8 +226,8 @@ def _spans(starts: np.ndarray, length: int) -> list[int]:
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """key and ``at`` (starts and ends in turn) of the repeated bytes of keyed docs."""
-    if length % SYMBOL or not 4 < gram < length:
-        raise ValueError("length must be a multiple of 4 and gram shorter")
+    if length % SYMBOL or not SYMBOL < gram < length:
+        raise ValueError(f"length must be a multiple of {SYMBOL} and gram shorter")
     found = cut(find_stretches(docs, length, gram), "stretches")
     inner = F.col("at").bitwiseAND(1)
     several = found.groupBy("anchor").agg(F.count("*").alias("n"), F.max(inner).alias("inner")).filter("n > 1 or inner = 1").select("anchor")
