@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from scanloom.llm import textbuf as tb
 from scanloom.llm.chunks import least_ahead
-from scanloom.llm.lineage import cut
+from scanloom.llm.lineage import cut, drop
 from scanloom.llm.spans import keyed, merged, remove, remove_text
 
 LENGTH = 200
@@ -228,10 +228,11 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
     """key and ``at`` (starts and ends in turn) of the repeated bytes of keyed docs."""
     if length % SYMBOL or not SYMBOL < gram < length:
         raise ValueError(f"length must be a multiple of {SYMBOL} and gram shorter")
-    found = cut(find_stretches(docs, length, gram), "stretches")
+    every = cut(find_stretches(docs, length, gram), "stretches")
     inner = F.col("at").bitwiseAND(1)
-    several = found.groupBy("anchor").agg(F.count("*").alias("n"), F.max(inner).alias("inner")).filter("n > 1 or inner = 1").select("anchor")
-    found = cut(found.join(several, "anchor", "left_semi"), "repeated-anchors")
+    several = every.groupBy("anchor").agg(F.count("*").alias("n"), F.max(inner).alias("inner")).filter("n > 1 or inner = 1").select("anchor")
+    found = cut(every.join(several, "anchor", "left_semi"), "repeated-anchors")
+    drop(every)
     kinds = found.groupBy("whole").agg(F.count("*").alias("n"), F.first("anchor").alias("anchor"), F.max(inner).alias("inner"), F.min(F.struct("key", "at")).alias("one"))
     kinds = cut(kinds, "kinds")
     per = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.max("inner").alias("any_inner")).filter("kinds > 1 or any_inner = 1").select("anchor", "kinds")
