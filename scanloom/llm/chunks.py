@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scanloom.llm import textbuf as tb
-from scanloom.llm.lineage import cut
+from scanloom.llm.lineage import cut, drop
 from scanloom.llm.spans import keyed, remove, remove_text
 
 REACH = 28
@@ -112,7 +112,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     where = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))), "key", "start")
     often = seen.groupBy("d1", "d2").agg(F.min(where).alias("first"), F.count("*").alias("n")).filter("n > 1").select("d1", "d2", "first")
     extra = seen.join(often, ["d1", "d2"]).filter(where != F.col("first"))
-    return extra.groupBy("key").agg(F.flatten(F.collect_list(F.array("start", F.col("start") + F.col("length")))).alias("at"))
+    spans = cut(extra.groupBy("key").agg(F.flatten(F.collect_list(F.array("start", F.col("start") + F.col("length")))).alias("at")), "chunk-spans")
+    drop(seen)
+    return spans
 
 
 def dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
