@@ -12,10 +12,13 @@ No list is expanded into its pairs.  Equal sets stand as one representative.  In
 list the documents are held against one pivot, picked by a hash; collisions are counted
 on whole signatures, and pairs above the match threshold ``RETAIN`` (well below MATCHES,
 as a pivot may be less like either of two documents than they are like each other) tie
-documents into families.  A family's full sets are dealt to tasks in blocks of
-``BLOCK_SHINGLES`` and pairs of blocks; a task counts common shingles by inverted lists
-and returns the links that its blocks need to hang together.  Components over those
-links are the result.
+documents into families.  A list whose documents are then in several families is still
+open (documents put together from passages that others share): those outside its largest
+family are held against all the others, in blocks of ``BLOCK_DOCS``, and pairs of at
+least MATCHES collisions join their families.  So every pair of MATCHES collisions is in
+one family.  A family's full sets are dealt to tasks in blocks of ``BLOCK_SHINGLES`` and
+pairs of blocks; a task counts common shingles by inverted lists and returns the links
+that its blocks need to hang together.  Components over those links are the result.
 
 Cases: null or empty texts and texts without words have an empty set and link with
 nothing; fewer than five words make one shingle; rows that share a doc_id count as one
@@ -40,6 +43,7 @@ COORDS = 40
 MATCHES = 17
 RETAIN = 10
 BLOCK_SHINGLES = 1 << 20
+BLOCK_DOCS = 1024
 #: A pair is linked from this Jaccard similarity on, in hundredths.
 PERCENT = 75
 WIDTH = 5
@@ -173,7 +177,38 @@ def links(families: DataFrame, docs: DataFrame, percent: int = PERCENT, block_sh
     return rows.repartition("family", "i", "j").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, coords: int = COORDS, matches: int = MATCHES, percent: int = PERCENT, retain: int = RETAIN, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+def joined_families(members: DataFrame, reps: DataFrame, matches: int = MATCHES, block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """Pairs (a, b) of families that hold two documents of one posting list (rows pair,
+    rep, family) with at least that many collisions; as many as tie them together."""
+    per = members.groupBy("pair", "family").agg(F.count("*").alias("n"))
+    lists = per.groupBy("pair").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("family", F.struct("n", "family")).alias("main"))
+    # A list of two was settled by its pivot.
+    still = cut(members.join(lists.filter("n > 2 and most < n"), "pair"), "open-lists")
+    number = lambda n: F.ceil(n / block_docs).cast("int")
+    block = lambda m: F.pmod(F.xxhash64("rep"), m).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), m - 1))
+    few, many = number(F.col("n") - F.col("most")), number(F.col("n"))
+    left = still.filter("family <> main").select("pair", block(few).alias("i"), every(many).alias("j"), "rep", "family", F.lit(True).alias("asks"))
+    right = still.select("pair", every(few).alias("i"), block(many).alias("j"), "rep", "family", F.lit(False).alias("asks"))
+    rows = left.union(right).join(reps.select("rep", "signature"), "rep")
+
+    def compare(table: pa.Table) -> pa.Table:
+        asks, family = (table.column(c).to_numpy() for c in ("asks", "family"))
+        signature = table.column("signature").combine_chunks().flatten().to_numpy().reshape(len(asks), -1)
+        others, whose = signature[~asks], family[~asks]
+        a, b = [], []
+        for mine, own in zip(signature[asks], family[asks].tolist(), strict=True):
+            near = (whose != own) & ((others == mine).sum(1) >= matches)
+            for other in np.unique(whose[near]).tolist():
+                a.append(own)
+                b.append(other)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    found = rows.groupBy("pair", "i", "j").applyInArrow(compare, "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, coords: int = COORDS, matches: int = MATCHES, percent: int = PERCENT, retain: int = RETAIN, block_shingles: int = BLOCK_SHINGLES, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable over links) and kept
     (whether doc_id is that) for each row."""
     signed = cut(signatures(docs, coords), "signatures")
@@ -190,7 +225,11 @@ def near_duplicates(docs: DataFrame, coords: int = COORDS, matches: int = MATCHE
     pivots = postings.groupBy("pair").agg(F.min_by("rep", F.xxhash64("pair", "rep")).alias("pivot"), F.count("*").alias("n")).filter("n > 1")
     tried = postings.join(pivots, "pair").filter("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
     kept = tried.join(sa, "a").join(sb, "b").filter(F.size(F.array_intersect("sig_a", "sig_b")) >= retain).select("a", "b")
-    families = components(kept).join(reps.select(F.col("rep").alias("node"), "size"), "node").select(F.col("node").alias("doc_id"), F.col("component").alias("family"), "size")
+    first = components(kept)
+    tied = cut(reps.select("rep", "size").join(first, F.col("rep") == first["node"], "left").select("rep", "size", F.coalesce("component", "rep").alias("family")), "tied")
+    more = components(joined_families(postings.join(tied.select("rep", "family"), "rep"), reps, matches, block_docs))
+    families = tied.join(more, F.col("family") == more["node"], "left").select(F.col("rep").alias("doc_id"), F.coalesce("component", "family").alias("family"), "size")
+    families = families.join(families.groupBy("family").agg(F.count("*").alias("n")).filter("n > 1").select("family"), "family")
     final = components(links(cut(families, "families"), docs, percent, block_shingles))
 
     named = reps.select("d1", "d2", "rep").join(final, F.col("rep") == final["node"], "left").select("d1", "d2", F.coalesce("component", "rep").alias("group_id"))

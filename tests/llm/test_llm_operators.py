@@ -85,6 +85,44 @@ def test_near_duplicates(spark, docs, rows, block):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got.collect()} == components_by_brute_force(rows)
 
 
+@pytest.mark.parametrize("block_docs", [2, 1024])
+def test_open_lists_join_families_by_collisions(spark, block_docs):
+    """Nine documents post one pair; 17 collisions join families, 16 do not, and those
+    within a family or in a list that one family fills are not looked at."""
+    signature = {i: [7] + [100 * i + j for j in range(1, 40)] for i in range(1, 12)}
+    signature[4] = signature[3][:17] + signature[4][17:]
+    signature[6] = signature[5][:16] + signature[6][16:]
+    signature[8] = list(signature[7])
+    signature[11] = list(signature[10])
+    family = {i: i for i in signature} | {8: 7, 9: 1, 11: 10}
+    reps = spark.createDataFrame(list(signature.items()), "rep long, signature array<long>")
+    rows = [(7, i, family[i]) for i in range(1, 10)] + [(8, 10, 10), (8, 11, 10), (9, 1, 1), (9, 2, 2)]
+    members = spark.createDataFrame(rows, "pair long, rep long, family long")
+    got = minhash.joined_families(members, reps, 17, block_docs).collect()
+    assert [(r["a"], r["b"]) for r in got] == [(3, 4)]
+
+
+def test_near_duplicates_among_shared_passages(spark):
+    """Texts wholly made of passages that 23 others hold too, no two texts sharing more
+    than one (the lines of an affine plane), and a near copy of each.  All passages
+    begin and end alike, so that their joints tell no texts apart."""
+    rng, p, out = random.Random(5), 11, []
+    joint = ["of", "the", "same", "kind"]
+    passage = [joint + make(rng, 20).split(" ") + joint for _ in range(p * p)]
+    for slope in range(p + 1):
+        for c in range(p):
+            places = [(x, (slope * x + c) % p) if slope < p else (c, x) for x in range(p)]
+            text = [w for x, y in places for w in passage[x * p + y]]
+            copy = list(text)
+            copy[rng.randrange(len(copy))] = "changed"
+            out += [" ".join(text), " ".join(copy)]
+    rows = list(enumerate(out))
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block_docs=5)
+    want = components_by_brute_force(rows)
+    assert sum(not kept for _, _, kept in want.values()) == p * (p + 1)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got.collect()} == want
+
+
 def test_near_duplicates_of_nothing_and_repeats(spark):
     assert minhash.near_duplicates(empty(spark)).count() == 0
     twice = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "A b c d e f")], "doc_id long, text string")
