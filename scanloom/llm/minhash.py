@@ -44,6 +44,8 @@ MATCHES = 17
 RETAIN = 10
 BLOCK_SHINGLES = 1 << 20
 BLOCK_DOCS = 1024
+#: Tasks over which the rows of one list or family are spread in a join.
+SALTS = 32
 #: A pair is linked from this Jaccard similarity on, in hundredths.
 PERCENT = 75
 WIDTH = 5
@@ -147,11 +149,19 @@ def linked(ids: np.ndarray, block: np.ndarray, sizes: np.ndarray, shingles: np.n
     return out
 
 
+def spread_join(rows: DataFrame, small: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """rows joined on key to a small table of distinct keys; the rows of one key, which
+    may be a third of all, are dealt by another column over SALTS tasks."""
+    every = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    return salted.join(every, [key, "salt"], how).drop("salt")
+
+
 def links(families: DataFrame, docs: DataFrame, percent: int = PERCENT, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """Links (a, b) of documents in families (doc_id, family, size) by their full sets."""
-    blocks = F.ceil(F.col("total") / block_shingles).cast("int")
-    total = families.groupBy("family").agg(F.sum("size").alias("total"))
-    dealt = families.join(total, "family").select("doc_id", "family", blocks.alias("blocks"), F.pmod(F.xxhash64("doc_id"), blocks).cast("int").alias("block"))
+    blocks = F.coalesce(F.ceil(F.col("total") / block_shingles).cast("int"), F.lit(1))
+    large = families.groupBy("family").agg(F.sum("size").alias("total")).filter(F.col("total") > block_shingles)
+    dealt = spread_join(families, large, "family", "doc_id", "left").select("doc_id", "family", blocks.alias("blocks"), F.pmod(F.xxhash64("doc_id"), blocks).cast("int").alias("block"))
     sets = shingle_sets(docs.select("doc_id", "text").join(dealt.select("doc_id"), "doc_id", "left_semi"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     rows = sets.join(dealt, "doc_id").withColumn("other", other).select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "block", "shingles")
@@ -183,7 +193,7 @@ def joined_families(members: DataFrame, reps: DataFrame, matches: int = MATCHES,
     per = members.groupBy("pair", "family").agg(F.count("*").alias("n"))
     lists = per.groupBy("pair").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("family", F.struct("n", "family")).alias("main"))
     # A list of two was settled by its pivot.
-    still = cut(members.join(lists.filter("n > 2 and most < n"), "pair"), "open-lists")
+    still = cut(spread_join(members, lists.filter("n > 2 and most < n"), "pair", "rep"), "open-lists")
     number = lambda n: F.ceil(n / block_docs).cast("int")
     block = lambda m: F.pmod(F.xxhash64("rep"), m).cast("int")
     every = lambda m: F.explode(F.sequence(F.lit(0), m - 1))
@@ -226,10 +236,9 @@ def near_duplicates(docs: DataFrame, coords: int = COORDS, matches: int = MATCHE
     tried = postings.join(pivots, "pair").filter("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
     kept = tried.join(sa, "a").join(sb, "b").filter(F.size(F.array_intersect("sig_a", "sig_b")) >= retain).select("a", "b")
     first = components(kept)
-    tied = cut(reps.select("rep", "size").join(first, F.col("rep") == first["node"], "left").select("rep", "size", F.coalesce("component", "rep").alias("family")), "tied")
-    more = components(joined_families(postings.join(tied.select("rep", "family"), "rep"), reps, matches, block_docs))
-    families = tied.join(more, F.col("family") == more["node"], "left").select(F.col("rep").alias("doc_id"), F.coalesce("component", "family").alias("family"), "size")
-    families = families.join(families.groupBy("family").agg(F.count("*").alias("n")).filter("n > 1").select("family"), "family")
+    tied = cut(reps.select("rep", "size").join(first, F.col("rep") == first["node"], "left").select("rep", "size", F.col("component").isNotNull().alias("found"), F.coalesce("component", "rep").alias("family")), "tied")
+    more = components(joined_families(postings.join(tied.select("rep", "family"), "rep"), reps, matches, block_docs)).withColumnRenamed("node", "family")
+    families = spread_join(tied, more, "family", "rep", "left").filter("found or component is not null").select(F.col("rep").alias("doc_id"), F.coalesce("component", "family").alias("family"), "size")
     final = components(links(cut(families, "families"), docs, percent, block_shingles))
 
     named = reps.select("d1", "d2", "rep").join(final, F.col("rep") == final["node"], "left").select("d1", "d2", F.coalesce("component", "rep").alias("group_id"))
