@@ -162,6 +162,7 @@ def links(families: DataFrame, docs: DataFrame, percent: int = PERCENT, block_sh
     blocks = F.coalesce(F.ceil(F.col("total") / block_shingles).cast("int"), F.lit(1))
     large = families.groupBy("family").agg(F.sum("size").alias("total")).filter(F.col("total") > block_shingles)
     dealt = spread_join(families, large, "family", "doc_id", "left").select("doc_id", "family", blocks.alias("blocks"), F.pmod(F.xxhash64("doc_id"), blocks).cast("int").alias("block"))
+    dealt = cut(dealt, "dealt")  # where it is small, Spark sees so and need not shuffle the texts
     sets = shingle_sets(docs.select("doc_id", "text").join(dealt.select("doc_id"), "doc_id", "left_semi"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     rows = sets.join(dealt, "doc_id").withColumn("other", other).select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "block", "shingles")
