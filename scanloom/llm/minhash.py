@@ -16,9 +16,13 @@ documents into families.  A list whose documents are then in several families is
 open (documents put together from passages that others share): those outside its largest
 family are held against all the others, in blocks of ``BLOCK_DOCS``, and pairs of at
 least MATCHES collisions join their families.  So every pair of MATCHES collisions is in
-one family.  A family's full sets are dealt to tasks in blocks of ``BLOCK_SHINGLES`` and
-pairs of blocks; a task counts common shingles by inverted lists and returns the links
-that its blocks need to hang together.  Components over those links are the result.
+one family.  A family's full sets are dealt to tasks in blocks of ``BLOCK_SHINGLES``, each
+with the family's ``PIVOTS`` pivots; a task counts common shingles by inverted lists and
+returns the links that its documents need to hang together.  In a family of several blocks,
+documents outside its largest component are then held against all of the family, in pairs
+of blocks.  So each pair is either compared or in one component by other links, and many
+copies of one text cost a comparison within blocks alone.  Components over the links are
+the result.
 
 Cases: null or empty texts and texts without words have an empty set and link with
 nothing; fewer than five words make one shingle; rows that share a doc_id count as one
@@ -44,6 +48,7 @@ MATCHES = 17
 RETAIN = 10
 BLOCK_SHINGLES = 1 << 20
 BLOCK_DOCS = 1024
+PIVOTS = 8
 #: A pair is linked from this Jaccard similarity on, in hundredths.
 PERCENT = 75
 WIDTH = 5
@@ -91,26 +96,31 @@ def signatures(docs: DataFrame, coords: int = COORDS) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, SIGNED)
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """doc_id and the distinct shingle hashes of each text."""
+def placed_sets(docs: DataFrame, placed: DataFrame) -> DataFrame:
+    """placed (doc_id, family, is, js, role, known) with the distinct shingle hashes of the
+    documents' texts, a row for each pair of ``is`` and ``js``."""
+    names = ["doc_id", "family", "is", "js", "role", "known"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buf, offs = tb.buffer(batch.column(1))
+            buf, offs = tb.buffer(batch.column(0))
             for lo, hi in tb.groups(offs, 1 << 20):
                 h, at = tb.shingles(*tb.words(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]), WIDTH)
                 sets = [np.unique(h[at[i] : at[i + 1]]).view(np.int64) for i in range(hi - lo)]
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).cast(pa.int64()), lists], ["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[1:]), lists], [*names, "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(placed, "doc_id").select("text", *names)
+    sets = texts.mapInArrow(run, "doc_id long, family long, is array<int>, js array<int>, role int, known long, shingles array<long>")
+    each = sets.select("family", F.explode("is").alias("i"), "js", "doc_id", "role", "known", "shingles")
+    return each.select("family", "i", F.explode("js").alias("j"), "doc_id", "role", "known", "shingles")
 
 
-def linked(ids: np.ndarray, block: np.ndarray, sizes: np.ndarray, shingles: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def linked(ids: np.ndarray, role: np.ndarray, known: np.ndarray, sizes: np.ndarray, shingles: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Links that hang together what is similar among some documents, each given by its
-    id, block, set size and (one after another) shingles.  With two blocks, only links
-    between them are looked for."""
+    id, role, known component, set size and (one after another) shingles.  Documents of
+    role 1 are held against those of role 2, those of role 0 against each other."""
     n = len(ids)
     doc = np.repeat(np.arange(n), sizes)
     _, code, often = np.unique(shingles, return_inverse=True, return_counts=True)
@@ -120,7 +130,8 @@ def linked(ids: np.ndarray, block: np.ndarray, sizes: np.ndarray, shingles: np.n
     start = np.searchsorted(code[by], np.arange(len(often) + 1))
     lists = doc[by]
     cuts = np.searchsorted(doc, np.arange(n + 1))
-    parent = list(range(n))
+    parts, part = np.unique(known, return_inverse=True)
+    parent = list(range(len(parts)))
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -129,52 +140,93 @@ def linked(ids: np.ndarray, block: np.ndarray, sizes: np.ndarray, shingles: np.n
         return i
 
     out = []
-    two = block.min() != block.max()
-    for i in range(n):
+    for i in np.flatnonzero(role < 2):
         mine = code[cuts[i] : cuts[i + 1]]
-        if 100 * len(mine) < percent * sizes[i] or (two and block[i] == block.max()):
+        if 100 * len(mine) < percent * sizes[i]:
             continue
         length = start[mine + 1] - start[mine]
         at = np.repeat(start[mine] - (np.cumsum(length) - length), length) + np.arange(length.sum())
         common = np.bincount(lists[at], minlength=n)
-        near = 100 * common >= percent * (sizes[i] + sizes - common)
-        near[: i + 1] &= two
-        for j in np.flatnonzero(near & (block != block[i]) if two else near):
-            a, b = root(i), root(int(j))
+        near = (100 * common >= percent * (sizes[i] + sizes - common)) & (part != part[i])
+        if role[i]:
+            near &= role == 2
+        else:
+            near[:i] = False
+        for j in np.flatnonzero(near):
+            a, b = root(int(part[i])), root(int(part[j]))
             if a != b:
                 parent[max(a, b)] = min(a, b)
                 out.append((int(ids[i]), int(ids[j])))
     return out
 
 
-def links(families: DataFrame, docs: DataFrame, percent: int = PERCENT, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """Links (a, b) of documents in families (doc_id, family, size) by their full sets."""
-    blocks = F.ceil(F.col("total") / block_shingles).cast("int")
-    total = families.groupBy("family").agg(F.sum("size").alias("total"))
-    dealt = families.join(total, "family").select("doc_id", "family", blocks.alias("blocks"), F.pmod(F.xxhash64("doc_id"), blocks).cast("int").alias("block"))
-    sets = shingle_sets(docs.select("doc_id", "text").join(dealt.select("doc_id"), "doc_id", "left_semi"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = sets.join(dealt, "doc_id").withColumn("other", other).select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "block", "shingles")
+def links(sets: DataFrame, percent: int = PERCENT, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """Links (a, b) found in each group (family, i, j) of placed sets."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        table = pa.Table.from_batches(parts)
-        table = table.sort_by([(c, "ascending") for c in ("family", "i", "j", "doc_id")]).combine_chunks()
-        family, i, j, doc, block = (table.column(c).to_numpy() for c in ("family", "i", "j", "doc_id", "block"))
+    def judged(table: pa.Table, group: np.ndarray) -> pa.RecordBatch:
+        doc, role, known = (table.column(c).to_numpy() for c in ("doc_id", "role", "known"))
         lists = table.column("shingles").combine_chunks()
         offs, values = lists.offsets.to_numpy(), lists.values.to_numpy()
-        new = np.ones(len(doc), bool)
-        new[1:] = (family[1:] != family[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
-        edges = np.append(np.flatnonzero(new), len(doc))
         out = []
-        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        for lo, hi in zip(group[:-1], group[1:], strict=True):
             if hi - lo > 1:
-                out += linked(doc[lo:hi], block[lo:hi], np.diff(offs[lo : hi + 1]), values[offs[lo] : offs[hi]], percent)
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+                out += linked(doc[lo:hi], role[lo:hi], known[lo:hi], np.diff(offs[lo : hi + 1]), values[offs[lo] : offs[hi]], percent)
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return rows.repartition("family", "i", "j").mapInArrow(run, "a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in (*batches, None):
+            if batch is not None and batch.num_rows:
+                held.append(batch)
+                size += len(batch.column(batch.num_columns - 1).flatten())
+            if held and (batch is None or size > block_shingles):
+                table = pa.Table.from_batches(held).combine_chunks()
+                family, i, j = (table.column(c).to_numpy() for c in ("family", "i", "j"))
+                new = np.ones(len(i), bool)
+                new[1:] = (family[1:] != family[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+                group = np.flatnonzero(new)
+                # The last group may go on in the next batch.
+                done = len(i) if batch is None else int(group[-1])
+                if done:
+                    yield judged(table.slice(0, done).combine_chunks(), np.append(group[group < done], done))
+                held = table.slice(done).to_batches()
+                size = sum(len(b.column(b.num_columns - 1).flatten()) for b in held)
+
+    keys = ("family", "i", "j")
+    return sets.repartition(*keys).sortWithinPartitions(*keys, "doc_id").mapInArrow(run, "a long, b long")
+
+
+def similar(families: DataFrame, docs: DataFrame, percent: int = PERCENT, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """(node, component) over the links of documents in families (doc_id, family, size).
+
+    Each block of a family is looked at by itself, together with the family's ``PIVOTS``
+    pivots, through which the blocks of many near copies hang together.  What is then
+    outside a family's largest component is held against all of the family."""
+    number = lambda n: F.ceil(n / block_shingles).cast("int")
+    block = lambda m: F.pmod(F.xxhash64("doc_id"), m).cast("int")
+    every = lambda m: F.sequence(F.lit(0), m - 1)
+    total = families.groupBy("family").agg(F.sum("size").alias("total"))
+    dealt = families.join(total, "family").withColumn("blocks", number(F.col("total")))
+    large = dealt.filter("blocks > 1")
+    pivots = large.groupBy("family", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(PIVOTS)).alias("k")).agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.lit(True).alias("pivot"))
+    own = F.when(F.col("pivot"), every(F.col("blocks"))).otherwise(F.array(block(F.col("blocks"))))
+    zero = F.array(F.lit(0))
+    placed = dealt.join(pivots, "doc_id", "left").select("doc_id", "family", own.alias("is"), zero.alias("js"), F.lit(0).alias("role"), F.col("doc_id").alias("known"))
+    # Written, so that Spark knows their size where texts are joined.
+    found = cut(links(placed_sets(docs, cut(placed, "placed")), percent, block_shingles), "similar")
+    first = components(found)
+
+    members = large.select("doc_id", "family", "size").join(first, F.col("doc_id") == first["node"], "left").select("doc_id", "family", "size", F.coalesce("component", "doc_id").alias("known"))
+    per = members.groupBy("family", "known").agg(F.sum("size").alias("size"))
+    most = per.groupBy("family").agg(F.sum("size").alias("total"), F.max("size").alias("most"), F.max_by("known", F.struct("size", "known")).alias("main")).filter("most < total")
+    still = members.drop("size").join(most, "family")
+    few, many = number(F.col("total") - F.col("most")), number(F.col("total"))
+    asks = still.filter("known <> main").select("doc_id", "family", F.array(block(few)).alias("is"), every(many).alias("js"), F.lit(1).alias("role"), "known")
+    asked = still.select("doc_id", "family", every(few).alias("is"), F.array(block(many)).alias("js"), F.lit(2).alias("role"), "known")
+    again = cut(asks.union(asked), "placed")
+    if again.isEmpty():
+        return first
+    return components(found.union(links(placed_sets(docs, again), percent, block_shingles)))
 
 
 def joined_families(members: DataFrame, reps: DataFrame, matches: int = MATCHES, block_docs: int = BLOCK_DOCS) -> DataFrame:
@@ -230,7 +282,7 @@ def near_duplicates(docs: DataFrame, coords: int = COORDS, matches: int = MATCHE
     more = components(joined_families(postings.join(tied.select("rep", "family"), "rep"), reps, matches, block_docs))
     families = tied.join(more, F.col("family") == more["node"], "left").select(F.col("rep").alias("doc_id"), F.coalesce("component", "family").alias("family"), "size")
     families = families.join(families.groupBy("family").agg(F.count("*").alias("n")).filter("n > 1").select("family"), "family")
-    final = components(links(cut(families, "families"), docs, percent, block_shingles))
+    final = similar(cut(families, "families"), docs, percent, block_shingles)
 
     named = reps.select("d1", "d2", "rep").join(final, F.col("rep") == final["node"], "left").select("d1", "d2", F.coalesce("component", "rep").alias("group_id"))
     out = signed.join(named, ["d1", "d2"], "left")
