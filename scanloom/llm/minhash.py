@@ -111,7 +111,8 @@ def placed_sets(docs: DataFrame, placed: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))
                 yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[1:]), lists], [*names, "shingles"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(placed, "doc_id").select("text", *names)
+    # Hashed on placed at every size, as it grows with the documents; texts need no sort.
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(placed.hint("shuffle_hash"), "doc_id").select("text", *names)
     sets = texts.mapInArrow(run, "doc_id long, family long, is array<int>, js array<int>, role int, known long, shingles array<long>")
     each = sets.select("family", F.explode("is").alias("i"), "js", "doc_id", "role", "known", "shingles")
     return each.select("family", "i", F.explode("js").alias("j"), "doc_id", "role", "known", "shingles")
@@ -212,7 +213,6 @@ def similar(families: DataFrame, docs: DataFrame, percent: int = PERCENT, block_
     own = F.when(F.col("pivot"), every(F.col("blocks"))).otherwise(F.array(block(F.col("blocks"))))
     zero = F.array(F.lit(0))
     placed = dealt.join(pivots, "doc_id", "left").select("doc_id", "family", own.alias("is"), zero.alias("js"), F.lit(0).alias("role"), F.col("doc_id").alias("known"))
-    # Written, so that Spark knows their size where texts are joined.
     found = cut(links(placed_sets(docs, cut(placed, "placed")), percent, block_shingles), "similar")
     first = components(found)
 
