@@ -123,6 +123,36 @@ def test_near_duplicates_among_shared_passages(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got.collect()} == want
 
 
+def test_linked_by_roles():
+    """Roles 1 and 2 meet across only, known components are not linked again."""
+    sets = [np.arange(k, k + 20) for k in (0, 1, 2, 0, 1, 100)]
+    flat, sizes = np.concatenate(sets), np.full(6, 20)
+    ids = np.arange(6)
+    alike = minhash.linked(ids, np.zeros(6, int), ids, sizes, flat, 75)
+    assert len(alike) == 4 and 5 not in {x for e in alike for x in e}
+    across = minhash.linked(ids, np.array([1, 1, 1, 2, 2, 2]), ids, sizes, flat, 75)
+    assert all(a < 3 <= b for a, b in across) and {x for e in across for x in e} == {0, 1, 2, 3, 4}
+    assert minhash.linked(ids, np.array([1, 1, 1, 2, 2, 2]), np.array([0, 0, 0, 0, 0, 5]), sizes, flat, 75) == []
+
+
+def test_large_families_hang_together(spark):
+    """Two groups of near copies over many blocks in one family, and one text between
+    them that joins a third: components are those of brute force."""
+    rng, out = random.Random(8), []
+    for base in (make(rng, 60).split(" "), make(rng, 60).split(" ")):
+        for _ in range(25):
+            text = list(base)
+            text[rng.randrange(60)] = make(rng, 1)
+            out.append(" ".join(text))
+    chain = make(rng, 100).split(" ")
+    out += [" ".join(chain[k : k + 60]) for k in range(0, 40, 5)]
+    rows = list(enumerate(out))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    family = spark.createDataFrame([(i, 0, len(t.split()) - 4) for i, t in rows], "doc_id long, family long, size long")
+    got = {r["node"]: r["component"] for r in minhash.similar(family, d, block_shingles=200).collect()}
+    assert {i: got.get(i, i) for i, _ in rows} == {i: c for i, (_, c, _) in components_by_brute_force(rows).items()}
+
+
 def test_near_duplicates_of_nothing_and_repeats(spark):
     assert minhash.near_duplicates(empty(spark)).count() == 0
     twice = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "A b c d e f")], "doc_id long, text string")
