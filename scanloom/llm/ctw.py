@@ -5,10 +5,11 @@ each decision has its own tree of contexts, the ``DEPTH`` bytes before it.  A no
 Krichevsky-Trofimov estimate and the product of its children's weighted probabilities
 are mixed half and half, from the leaves up; a prediction mixes the estimates of all
 depths along the context's path by the resulting weights.  Training counts every run
-of DEPTH + 1 bytes of all training texts in Spark; nodes seen at least as often as a
-cut-off, found from a histogram so that ``PAIRS`` pairs of context and byte remain at
-most, form the tree, and what a node saw in other contexts is one further child.  The
-tree is therefore of bounded size, however large the corpus, and is what is broadcast.
+of DEPTH + 1 bytes of all training texts in Spark, and all of them form the tree: the
+contexts that share their last ``ROOT`` bytes are a subtree, weighed as a whole in one
+task; the driver weighs what is above (of a size bounded by ROOT) and sends it back.
+So each distinct run of all texts gets its log10, in a table.  The ``PAIRS`` runs seen
+most often are broadcast and looked up; a text's other runs are joined to the table.
 
 Word counts for the base score (add-one unigrams) are bounded in the same way for the
 words that tasks look up; all rarer words are joined, so each count is exact.
@@ -27,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,12 +38,17 @@ from scanloom.llm.lineage import cut
 
 DEPTH = 5
 PAIRS = 600_000
+#: Bytes of context at the roots of the subtrees, and the runs weighed at a time.
+ROOT = 2
+CHUNK = 1 << 18
 WORDS = 1 << 18
 #: Ends a text; no byte of UTF-8 has this value.  Before a text stand zero bytes.
 END = 255
 FLUSH = 1 << 21
 COUNTED = "kind int, key long, n long"
-SCORED = "row long, doc_id long, n_tokens long, n_known long, base_sum double, score double, rare array<long>, times array<int>"
+SCORED = "row long, doc_id long, n_tokens long, n_known long, base_sum double, score_sum double, rare array<long>, times array<int>, deep array<long>, deep_times array<int>"
+ROOTS = "key long, zeros double, ones double, weighted double"
+MODEL = "key long, n long, log float"
 U = np.uint64
 
 
@@ -88,11 +95,12 @@ class Tally:
         return u, np.bincount(inv, np.concatenate([p[1] for p in self.parts]), len(u)).astype(np.int64)
 
 
-def count_corpus(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(kind, key, n): kind 0 counts words by hash, kind 1 runs of depth + 1 bytes."""
+def count_corpus(texts: DataFrame, depth: int = DEPTH, training=None) -> DataFrame:
+    """(kind, key, n): kind 0 counts words by hash, kind 1 runs of depth + 1 bytes; kind 2
+    runs of the texts that the condition ``training`` leaves out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tallies = [Tally(), Tally()]
+        tallies = [Tally(), Tally(), Tally()]
 
         def flush(least: int) -> Iterator[pa.RecordBatch]:
             for kind, tally in enumerate(tallies):
@@ -104,15 +112,18 @@ def count_corpus(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u[part]), kind, np.int32)), pa.array(u[part].view(np.int64)), pa.array(n[part])], ["kind", "key", "n"])
 
         for batch in batches:
-            buf, offs = tb.buffer(batch.column(0))
-            for lo, hi in tb.groups(offs, 1 << 21):
-                part, o = buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
-                tallies[0].add(tb.words(part, o)[0])
-                tallies[1].add(runs(*padded(part, o, depth), depth))
-                yield from flush(FLUSH)
+            for learnt in (True, False):
+                buf, offs = tb.buffer(batch.column(0).filter(pc.equal(batch.column(1), learnt)))
+                for lo, hi in tb.groups(offs, 1 << 21):
+                    part, o = buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
+                    if learnt:
+                        tallies[0].add(tb.words(part, o)[0])
+                    tallies[1 if learnt else 2].add(runs(*padded(part, o, depth), depth))
+                    yield from flush(FLUSH)
         yield from flush(0)
 
-    return texts.select("text").mapInArrow(run, COUNTED).groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    learn = F.lit(True) if training is None else F.coalesce(training, F.lit(False))
+    return texts.select("text", learn.alias("learn")).mapInArrow(run, COUNTED).groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
 def cutoff(counts: DataFrame, most: int, weight=None) -> int:
@@ -206,9 +217,57 @@ def _tag(depth: int) -> np.uint64:
     return U(depth + 1) << U(56)
 
 
-def weigh(by_depth: list[tuple[np.ndarray, np.ndarray]]) -> Tree:
-    """Context-tree weighting of pair counts (context << 8 | byte, n) by depth."""
-    top = len(by_depth) - 1
+@dataclass
+class Levels:
+    """Nodes (context << 8 | leading bits) by depth from ``first`` on, sorted, with what
+    they counted; ``spread`` has each pair's eight nodes and bits."""
+
+    first: int
+    keys: list[np.ndarray]
+    zeros: list[np.ndarray]
+    ones: list[np.ndarray]
+    spread: list[tuple[np.ndarray, np.ndarray]]
+
+    def __post_init__(self):
+        self.up = [np.zeros(0, np.int64)]
+        for i in range(1, len(self.keys)):
+            self.up.append(np.searchsorted(self.keys[i - 1], self.keys[i] & U((1 << (8 * (self.first + i))) - 1)))
+
+    def rise(self, weighted: np.ndarray | None = None) -> np.ndarray:
+        """Weighted ln probabilities of the first depth; those of the last may be given."""
+        top = len(self.keys) - 1
+        self.stop = [np.zeros(0)] * (top + 1)
+        for i in range(top, -1, -1):
+            zeros, ones, m = self.zeros[i], self.ones[i], len(self.keys[i])
+            if i == top:
+                weighted, self.stop[i] = log_kt(zeros, ones) if weighted is None else weighted, np.ones(m)
+                continue
+            own, up = log_kt(zeros, ones), self.up[i + 1]
+            rest = log_kt(zeros - np.bincount(up, self.zeros[i + 1], m), ones - np.bincount(up, self.ones[i + 1], m))
+            below = np.bincount(up, weighted, m) + rest
+            weighted = np.logaddexp(own, below) - math.log(2)
+            self.stop[i] = 1 / (1 + np.exp(np.clip(below - own, -700, 700)))
+        return weighted
+
+    def fall(self, gathered: np.ndarray, rest: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """By depth the probability of a one, and what reaches the last depth: estimates
+        gathered and weight left.  What reaches the first depth is given."""
+        out = []
+        for i in range(len(self.keys)):
+            if i:
+                p = self.up[i]
+                gathered, rest = gathered[p] + rest[p] * self.stop[i - 1][p] * kt[p], rest[p] * (1 - self.stop[i - 1][p])
+            kt = (self.ones[i] + 0.5) / (self.zeros[i] + self.ones[i] + 1)
+            out.append(gathered + rest * kt)
+        return out, gathered, rest
+
+    def pair_logs(self, i: int, one: np.ndarray) -> np.ndarray:
+        inv, bits = self.spread[i]
+        return np.log10(np.where(bits == 1, one[inv], 1 - one[inv])).sum(0).astype(np.float32)
+
+
+def levels(by_depth: list[tuple[np.ndarray, np.ndarray]], first: int = 0) -> Levels:
+    """From pair counts (context << 8 | byte, n) by depth."""
     keys, zeros, ones, spread = [], [], [], []
     for pair, n in by_depth:
         byte = (pair & U(255)).astype(np.int64)
@@ -222,49 +281,31 @@ def weigh(by_depth: list[tuple[np.ndarray, np.ndarray]]) -> Tree:
         ones.append(np.bincount(inv, bit * times, len(u)))
         zeros.append(np.bincount(inv, (1 - bit) * times, len(u)))
         spread.append((inv.reshape(8, -1).astype(np.int32), np.array(bits, np.int8)))
-    up: list[np.ndarray] = [np.zeros(0, np.int64)] * (top + 1)
-    for d in range(1, top + 1):
-        up[d] = np.searchsorted(keys[d - 1], keys[d] & U((1 << (8 * d)) - 1)) if len(keys[d]) else np.zeros(0, np.int64)
-    weighted = [np.zeros(0)] * (top + 1)
-    stop = [np.zeros(0)] * (top + 1)
-    for d in range(top, -1, -1):
-        own = log_kt(zeros[d], ones[d])
-        if d == top:
-            weighted[d], stop[d] = own, np.ones(len(own))
-            continue
-        m = len(own)
-        below = np.bincount(up[d + 1], weighted[d + 1], m)
-        rest = log_kt(zeros[d] - np.bincount(up[d + 1], zeros[d + 1], m), ones[d] - np.bincount(up[d + 1], ones[d + 1], m))
-        below = below + rest
-        weighted[d] = np.logaddexp(own, below) - math.log(2)
-        stop[d] = 1 / (1 + np.exp(np.clip(below - own, -700, 700)))
-    node_keys, node_p, pair_keys, pair_p = [], [], [], []
-    gathered, rest = np.zeros(len(keys[0])), np.ones(len(keys[0]))
-    for d in range(top + 1):
-        if d:
-            p = up[d]
-            gathered, rest = gathered[p] + rest[p] * stop[d - 1][p] * kt[p], rest[p] * (1 - stop[d - 1][p])
-        kt = (ones[d] + 0.5) / (zeros[d] + ones[d] + 1)
-        one = gathered + rest * kt
-        node_keys.append(keys[d] | _tag(d))
-        node_p.append(one.astype(np.float32))
-        inv, bits = spread[d]
-        pair_keys.append(by_depth[d][0] | _tag(d))
-        pair_p.append(np.log10(np.where(bits == 1, one[inv], 1 - one[inv])).sum(0).astype(np.float32) if len(by_depth[d][0]) else np.zeros(0, np.float32))
+    return Levels(first, keys, zeros, ones, spread)
+
+
+def weigh(by_depth: list[tuple[np.ndarray, np.ndarray]]) -> Tree:
+    """Context-tree weighting of pair counts (context << 8 | byte, n) by depth."""
+    tree = levels(by_depth)
+    tree.rise()
+    one, _, _ = tree.fall(np.zeros(len(tree.keys[0])), np.ones(len(tree.keys[0])))
     cat = np.concatenate
-    return Tree(top, (cat(node_keys), cat(node_p)), (cat(pair_keys), cat(pair_p)))
+    nodes = cat([k | _tag(d) for d, k in enumerate(tree.keys)]), cat([p.astype(np.float32) for p in one])
+    pairs = cat([p | _tag(d) for d, (p, _) in enumerate(by_depth)]), cat([tree.pair_logs(d, p) for d, p in enumerate(one)])
+    return Tree(len(by_depth) - 1, nodes, pairs)
 
 
 def grow(counts: DataFrame, depth: int = DEPTH, pairs: int = PAIRS) -> Tree:
-    """The tree from counts of runs (kind 1): the contexts seen most often, with all the
-    bytes seen after them; at most ``pairs`` such bytes reach the driver."""
-    levels = None
+    """A tree in one place from counts of runs (kind 1): the contexts seen most often, with
+    all the bytes seen after them; at most ``pairs`` such bytes reach the driver.  score()
+    has the tree of all contexts instead."""
+    deep = None
     for d in range(depth + 1):
         key = F.col("key").bitwiseAND((1 << (8 * (d + 1))) - 1)
         level = counts.filter("kind = 1").groupBy(key.alias("key")).agg(F.sum("n").alias("n")).withColumn("d", F.lit(d))
-        levels = level if levels is None else levels.union(level)
+        deep = level if deep is None else deep.union(level)
     # A context has 256 different bytes after it at most.
-    contexts = levels.groupBy("d", F.shiftrightunsigned("key", 8).alias("context")).agg(F.sum("n").alias("n"), F.collect_list(F.struct("key", F.col("n").alias("times"))).alias("after"))
+    contexts = deep.groupBy("d", F.shiftrightunsigned("key", 8).alias("context")).agg(F.sum("n").alias("n"), F.collect_list(F.struct("key", F.col("n").alias("times"))).alias("after"))
     contexts = cut(contexts, "ctw-contexts")
     least = cutoff(contexts, pairs, F.size("after"))
     got = contexts.filter(F.col("n") >= least).select("d", F.explode("after").alias("x")).select("d", "x.key", "x.times").toArrow()
@@ -313,24 +354,138 @@ def _bits(tree: Tree, nodes: Table, run: np.ndarray, deepest: int) -> np.ndarray
     return total
 
 
+def subtree(runs_: np.ndarray, n: np.ndarray, depth: int, root: int) -> Levels:
+    """All depths from root on of what distinct runs, sorted, were counted."""
+    by_depth = []
+    for d in range(root, depth):
+        u, inv = np.unique(runs_ & U((1 << (8 * (d + 1))) - 1), return_inverse=True)
+        by_depth.append((u, np.bincount(inv, n, len(u))))
+    return levels([*by_depth, (runs_, n.astype(float))], root)
+
+
+def whole(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Sorted by their column root, rows in pieces of about ``rows`` or of one root."""
+    held, size, wait = [], 0, rows
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.num_rows
+        if size >= wait:
+            table = pa.Table.from_batches(held)
+            root = tb.column(table, "root").to_numpy()
+            at = int(np.searchsorted(root, root[-1]))
+            if at:
+                yield table.slice(0, at)
+            held, size = table.slice(at).to_batches(), size - at
+            wait = max(rows, 2 * size)
+    if size:
+        yield pa.Table.from_batches(held)
+
+
+def model(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(key, n, log): log10 of the last byte of each run counted (kinds 1 and 2) by the
+    tree of all runs of kind 1, and how often the run was counted in all."""
+    spark = counts.sparkSession
+    root = min(ROOT, depth)
+    rooted = counts.withColumn("root", F.shiftrightunsigned("key", 8).bitwiseAND((1 << (8 * root)) - 1))
+    dealt = lambda rows: rows.repartition("root").sortWithinPartitions("root").select("root", "kind", "key", "n")
+
+    def learnt(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        kind, key, n = (tb.column(table, c).to_numpy() for c in ("kind", "key", "n"))
+        own, times = key[kind == 1].view(U), n[kind == 1]
+        order = np.argsort(own)
+        return own[order], times[order], key.view(U), n
+
+    def rise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole(batches, CHUNK):
+            own, times, _, _ = learnt(table)
+            tree = subtree(own, times, depth, root)
+            weighted = tree.rise()
+            yield pa.RecordBatch.from_arrays([pa.array(tree.keys[0].view(np.int64)), pa.array(tree.zeros[0]), pa.array(tree.ones[0]), pa.array(weighted)], ["key", "zeros", "ones", "weighted"])
+
+    got = dealt(rooted.filter("kind = 1")).mapInArrow(rise, ROOTS).toArrow()
+    key, zeros, ones, weighted = (got.column(c).to_numpy() for c in ("key", "zeros", "ones", "weighted"))
+    order = np.argsort(key)
+    by = [(key[order].view(U), zeros[order], ones[order])]
+    for d in range(root, 0, -1):
+        u, inv = np.unique(by[0][0] & U((1 << (8 * d)) - 1), return_inverse=True)
+        by.insert(0, (u, np.bincount(inv, by[0][1], len(u)), np.bincount(inv, by[0][2], len(u))))
+    top = Levels(0, *(list(x) for x in zip(*by, strict=True)), [])
+    top.rise(weighted[order])
+    one, gathered, rest = top.fall(np.zeros(len(top.keys[0])), np.ones(len(top.keys[0])))
+    sent = spark.sparkContext.broadcast((top.keys, one[:-1], gathered, rest))
+
+    def fall(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        above, p_above, gathered, rest = sent.value
+        for table in whole(batches, CHUNK):
+            own, times, key, n = learnt(table)
+            tree = subtree(own, times, depth, root)
+            tree.rise()
+            at = np.searchsorted(above[-1], tree.keys[0])
+            one, _, _ = tree.fall(gathered[at], rest[at])
+            u, inv = np.unique(key, return_inverse=True)
+            log = np.zeros(len(u), np.float32)
+            seen = np.isin(u, own, assume_unique=True)
+            log[seen] = tree.pair_logs(depth - root, one[-1])
+            log[~seen] = new_log10(u[~seen], [*above[:-1], *tree.keys], [*p_above, *one])
+            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(np.bincount(inv, n, len(u)).astype(np.int64)), pa.array(log)], ["key", "n", "log"])
+
+    return dealt(rooted.filter("kind > 0")).mapInArrow(fall, MODEL)
+
+
+def new_log10(run: np.ndarray, keys: list[np.ndarray], p: list[np.ndarray]) -> np.ndarray:
+    """As byte_log10, bit by bit in the deepest node seen, by nodes sorted by depth."""
+    total = np.zeros(len(run))
+    byte = (run & U(255)).astype(np.int64)
+    for j in range(8):
+        place = ((1 << j) | (byte >> (8 - j))).astype(U)
+        one = np.full(len(run), 0.5)
+        left = np.arange(len(run))
+        for d in range(len(keys) - 1, -1, -1):
+            if not len(left) or not len(keys[d]):
+                continue
+            key = (run[left] & U((1 << (8 * (d + 1))) - 1) & ~U(255)) | place[left]
+            at = np.minimum(np.searchsorted(keys[d], key), len(keys[d]) - 1)
+            hit = keys[d][at] == key
+            one[left[hit]] = p[d][at[hit]]
+            left = left[~hit]
+        total += np.log10(np.where((byte >> (7 - j)) & 1 == 1, one, 1 - one))
+    return total.astype(np.float32)
+
+
+def tallied(keys: np.ndarray, text: np.ndarray, m: int) -> tuple[pa.Array, pa.Array]:
+    """By text 0..m-1, its distinct keys and how often it has each, as lists."""
+    order = np.lexsort((keys, text))
+    k, t = keys[order], text[order]
+    first = np.ones(len(k), bool)
+    first[1:] = (k[1:] != k[:-1]) | (t[1:] != t[:-1])
+    begin = np.flatnonzero(first)
+    times = np.diff(np.append(begin, len(k))).astype(np.int32)
+    cuts = pa.array(np.searchsorted(t[begin], np.arange(m + 1)).astype(np.int32))
+    return pa.ListArray.from_arrays(cuts, pa.array(k[begin].view(np.int64))), pa.ListArray.from_arrays(cuts, pa.array(times))
+
+
 def score(docs: DataFrame, training, depth: int = DEPTH, pairs: int = PAIRS, words: int = WORDS) -> DataFrame:
     """Per row of docs: doc_id, n_tokens, n_known, train_tokens, base_score, score and
     bits_per_byte.  ``training`` is the condition that selects the rows learned from."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    learn = docs.filter(training)
-    counts = cut(count_corpus(learn, depth), "ctw-counts")
-    ends = learn.count()
+    counts = cut(count_corpus(docs, depth, training), "ctw-counts")
+    ends = docs.filter(training).count()
     vocabulary = counts.filter("kind = 0")
     total = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_all, n_distinct = total["n"] + ends, total["v"] + (ends > 0)
     least = cutoff(vocabulary, words)
     often = vocabulary.filter(F.col("n") >= least).select("key", "n").toArrow()
-    sent = spark.sparkContext.broadcast((grow(counts, depth, pairs), often.column("key").to_numpy().view(np.uint64), often.column("n").to_numpy()))
+    all_runs = cut(model(counts, depth), "ctw-model")
+    least_run = cutoff(all_runs, pairs)
+    near = all_runs.filter(F.col("n") >= least_run).select("key", "log").toArrow()
+    sent = spark.sparkContext.broadcast(tuple(x.to_numpy() for x in (near.column("key"), near.column("log"), often.column("key"), often.column("n"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, keys, n = sent.value
-        tables, known = tree.tables(), Table(keys, n.astype(np.float64))
+        run_keys, run_logs, keys, n = sent.value
+        logs_of, known = Table(run_keys.view(U), run_logs), Table(keys.view(U), n.astype(np.float64))
         row = TaskContext.get().partitionId() << 34
         for batch in batches:
             buf, offs = tb.buffer(batch.column(1))
@@ -339,26 +494,20 @@ def score(docs: DataFrame, training, depth: int = DEPTH, pairs: int = PAIRS, wor
                 h, at = tb.words(part, o)
                 text = np.repeat(np.arange(m), np.diff(at))
                 c = known.get(h, 0.0)
-                rare = np.flatnonzero(c == 0)
-                order = rare[np.lexsort((h[rare], text[rare]))]
-                rh, rt = h[order], text[order]
-                first = np.ones(len(rh), bool)
-                first[1:] = (rh[1:] != rh[:-1]) | (rt[1:] != rt[:-1])
-                begin = np.flatnonzero(first)
-                times = np.diff(np.append(begin, len(rh)))
-                cuts = np.searchsorted(rt[begin], np.arange(m + 1)).astype(np.int32)
-                data, place = padded(part, o, depth)
-                logs = byte_log10(tree, tables, runs(data, place, depth)).astype(np.float64)
+                rare = tallied(h[c == 0], text[c == 0], m)
+                byte_runs = runs(*padded(part, o, depth), depth)
+                logs = logs_of.get(byte_runs, 1.0)
+                far = logs > 0
+                deep = tallied(byte_runs[far], np.repeat(np.arange(m), np.diff(o) + 1)[far], m)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(row + np.arange(m)), batch.column(0).slice(lo, m), pa.array(np.diff(at) + 1),
                         pa.array(np.bincount(text, c > 0, m).astype(np.int64) + int(ends > 0)),
                         pa.array(np.bincount(text, np.log10(c + 1), m) + math.log10(ends + 1)),
-                        pa.array(np.add.reduceat(logs, o[:-1] + np.arange(m))),
-                        pa.ListArray.from_arrays(pa.array(cuts), pa.array(rh[begin].view(np.int64))),
-                        pa.ListArray.from_arrays(pa.array(cuts), pa.array(times.astype(np.int32))),
+                        pa.array(np.add.reduceat(np.where(far, 0, logs).astype(np.float64), o[:-1] + np.arange(m))),
+                        *rare, *deep,
                     ],
-                    ["row", "doc_id", "n_tokens", "n_known", "base_sum", "score", "rare", "times"],
+                    ["row", "doc_id", "n_tokens", "n_known", "base_sum", "score_sum", "rare", "times", "deep", "deep_times"],
                 )
                 row += m
 
@@ -366,7 +515,12 @@ def score(docs: DataFrame, training, depth: int = DEPTH, pairs: int = PAIRS, wor
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
     joined = rare.join(vocabulary.filter(F.col("n") < least).select("key", "n"), "key")
     extra = joined.groupBy("row").agg(F.sum("times").alias("found"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("logs"))
-    return scored.join(extra, "row", "left").select(
+    deep = scored.select("row", F.explode(F.arrays_zip("deep", "deep_times")).alias("x")).select("row", F.col("x.deep").alias("key"), F.col("x.deep_times").alias("times"))
+    # Hashed at every size: a broadcast of the table would grow with the corpus.
+    found = deep.join(all_runs.filter(F.col("n") < least_run).select("key", "log").hint("shuffle_hash"), "key")
+    below = found.groupBy("row").agg(F.sum(F.col("times") * F.col("log").cast("double")).alias("deep_sum"))
+    return scored.join(extra, "row", "left").join(below, "row", "left").select(
         "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("found", F.lit(0))).cast("long").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
-        (F.col("base_sum") + F.coalesce("logs", F.lit(0.0)) - F.col("n_tokens") * math.log10(n_all + n_distinct + 1)).alias("base_score"), "score",
+        (F.col("base_sum") + F.coalesce("logs", F.lit(0.0)) - F.col("n_tokens") * math.log10(n_all + n_distinct + 1)).alias("base_score"),
+        (F.col("score_sum") + F.coalesce("deep_sum", F.lit(0.0))).alias("score"),
     )

@@ -293,6 +293,21 @@ def test_ctw_base_and_distribution(spark, docs, rows):
     assert ctw.score(empty(spark), train).count() == 0
 
 
+def test_ctw_scores_by_all_contexts_whatever_is_broadcast(spark, docs, rows, monkeypatch):
+    """A bound on what tasks look up changes no score; all equal the tree in one place."""
+    train = F.col("doc_id") % 4 != 0
+    texts = docs.filter(train).select(F.coalesce("text", F.lit("")).alias("text"))
+    for depth in (1, 4):
+        tree = ctw.grow(ctw.count_corpus(texts, depth), depth, 10**9)
+        b, o = tb.buffer(pa.array([r[1] for r in rows], pa.string()))
+        logs = ctw.byte_log10(tree, tree.tables(), ctw.runs(*ctw.padded(b, o, depth), depth)).astype(float)
+        want = np.add.reduceat(logs, o[:-1] + np.arange(len(rows)))
+        for pairs, chunk in ((10**6, 1 << 18), (50, 100)):
+            monkeypatch.setattr(ctw, "CHUNK", chunk)
+            got = {r["doc_id"]: r["score"] for r in ctw.score(docs, train, depth=depth, pairs=pairs).collect()}
+            assert max(abs(got[r[0]] - w) / max(1, abs(w)) for r, w in zip(rows, want, strict=True)) < 1e-5
+
+
 def test_log_kt():
     for a, b in ((0, 0), (3, 1), (0, 200), (100, 77)):
         want = sum(math.log((i + 0.5) / (i + 1)) for i in range(a)) + sum(math.log((i + 0.5) / (a + i + 1)) for i in range(b))
