@@ -1,13 +1,17 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
 Every item of the benchmark has a 64-bit SimHash of its five-word shingles, weighted by
-their number.  Over each document, windows of as many words as an item has are slid in
-steps of an eighth of their length, and their SimHash is taken from running sums.  A
-64-bit fingerprint is four blocks of 16 bits; if two fingerprints differ in at most
-``RADIUS`` bits, one block differs in at most RADIUS // 4 of its bits, so a table of
-all such block values finds every fingerprint within the radius.  Each candidate
-window is moved over the words around it, and is a leak if the exact weighted Jaccard
-similarity of the shingle multisets reaches ``PERCENT`` hundredths.
+their number.  A window of as many words as an item has stands at every word of a
+document; one that has fewer of its shingles in any item than the least similarity takes
+cannot be a leak, so all others get their SimHash.  A 64-bit fingerprint is four blocks of
+16 bits; if two fingerprints differ in at most ``RADIUS`` bits, one block differs in at
+most RADIUS // 4 of its bits, so a table of all such block values finds every fingerprint
+within the radius.  A window and an item that shares shingles with it and is within the
+radius are a leak if the exact weighted Jaccard similarity of the shingle multisets
+reaches ``PERCENT`` hundredths.
+
+At 0.75, two fingerprints differ in 11 of 64 bits in the mean with a deviation of 3, so
+that the radius of 27 is more than five deviations away.
 
 Items are taken in passes of ``ITEMS`` at most, so what is broadcast stays bounded.
 
@@ -32,11 +36,11 @@ from pyspark.sql import functions as F
 
 from scanloom.llm import textbuf as tb
 
-RADIUS = 15
+RADIUS = 27
 PERCENT = 75
 WIDTH = 5
 ITEMS = 20_000
-#: Shingles summed at a time; a block overlaps the next by the longest item.
+#: Windows whose bits are summed at a time.
 BLOCK = 1 << 16
 SCHEMA = "doc_id long, item_id long, first_word long, similarity double"
 
@@ -79,6 +83,16 @@ class Index:
         self.sizes: dict[int, list[Item]] = {}
         for x in items:
             self.sizes.setdefault(x.n_words, []).append(x)
+        #: By number of words, all shingles of the items, sorted, and the item of each.
+        self.owners: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n, xs in self.sizes.items():
+            h = np.concatenate([x.sorted_hashes for x in xs])
+            order = np.argsort(h)
+            self.owners[n] = h[order], np.repeat(np.arange(len(xs)), [len(x.sorted_hashes) for x in xs])[order]
+        self.known = np.unique(np.concatenate([np.zeros(0, np.uint64), *(h for h, _ in self.owners.values())]))
+        self.low = np.uint64((1 << max(16, (16 * len(self.known)).bit_length())) - 1)
+        self.maybe = np.zeros(int(self.low) + 1, bool)
+        self.maybe[self.known & self.low] = True
         ones = np.unpackbits(np.arange(1 << 16, dtype=np.uint16).view(np.uint8).reshape(-1, 2), axis=1).sum(1)
         values = np.arange(1 << 16)
         self.prints = {n: np.array([x.fingerprint for x in xs], np.uint64) for n, xs in self.sizes.items()}
@@ -90,8 +104,24 @@ class Index:
                     t[b] |= ones[values ^ v] <= radius // 4
             self.tables[n] = t
 
-    def candidates(self, n: int, prints: np.ndarray) -> Iterator[tuple[int, Item]]:
-        """(window, item) for all fingerprints within the radius."""
+    def in_any(self, shingles: np.ndarray) -> np.ndarray:
+        """Which shingles some item has."""
+        out = self.maybe[shingles & self.low]
+        some = np.flatnonzero(out)
+        if len(some):
+            out[some] = self.known[np.minimum(np.searchsorted(self.known, shingles[some]), len(self.known) - 1)] == shingles[some]
+        return out
+
+    def sharing(self, n: int, shingles: np.ndarray) -> np.ndarray:
+        """The items of n words that have one of the shingles, by place in sizes[n]."""
+        h, owner = self.owners[n]
+        u = np.unique(shingles)
+        lo, hi = np.searchsorted(h, u), np.searchsorted(h, u, side="right")
+        many = hi - lo
+        return np.unique(owner[np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())])
+
+    def candidates(self, n: int, prints: np.ndarray, among: np.ndarray) -> Iterator[tuple[np.ndarray, Item]]:
+        """(windows, item) for all fingerprints within the radius of the items among."""
         blocks = np.ascontiguousarray(prints).view(np.uint16).reshape(-1, 4)
         t = self.tables[n]
         hit = t[0].take(blocks[:, 0])
@@ -99,9 +129,10 @@ class Index:
             hit |= t[b].take(blocks[:, b])
         maybe = np.flatnonzero(hit)
         some = prints[maybe]
-        for item, print_ in zip(self.sizes[n], self.prints[n], strict=True):
-            for w in maybe[np.bitwise_count(some ^ print_) <= self.radius]:
-                yield int(w), item
+        for i in among:
+            near = maybe[np.bitwise_count(some ^ self.prints[n][i]) <= self.radius]
+            if len(near):
+                yield near, self.sizes[n][i]
 
 
 def weighted_similarity(sorted_a: np.ndarray, b: np.ndarray) -> float:
@@ -113,80 +144,55 @@ def weighted_similarity(sorted_a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(sorted_a) + len(b) - common)
 
 
-def _running(bits: np.ndarray, kind: type) -> np.ndarray:
-    """len+1 rows of running column sums: within runs of 32 rows, then over the runs."""
-    runs = -(-len(bits) // 32)
-    out = np.zeros((runs * 32 + 1, 64), kind)
-    out[1 : len(bits) + 1] = bits
-    x = out[1:].reshape(runs, 32, 64)
-    for j in range(1, 32):
-        x[:, j] += x[:, j - 1]
-    if runs > 1:
-        x[1:] += np.cumsum(x[:-1, -1], axis=0, dtype=kind)[:, None]
-    return out[: len(bits) + 1]
-
-
-def _prints(total: np.ndarray, ends, starts, n_s) -> np.ndarray:
-    """Fingerprints from running sums of bits: more than half of the shingles."""
-    ones = total[ends] - total[starts]
-    half = n_s // 2 if np.isscalar(n_s) else (n_s // 2).astype(total.dtype)[:, None]
-    return np.packbits((ones > half).reshape(-1)).view(np.uint64)
+def _prints(part: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Fingerprints of the windows first..last of shingles: more than half of them."""
+    total = np.zeros((len(part) + 1, 64), np.int32)
+    np.cumsum(_bit_rows(part), axis=0, dtype=np.int32, out=total[1:])
+    return np.packbits((2 * (total[last] - total[first]) > (last - first)[:, None]).reshape(-1)).view(np.uint64)
 
 
 def leaks_of(words: np.ndarray, offs: np.ndarray, index: Index, percent: int) -> dict[tuple[int, int], tuple[float, int, int]]:
     """Of some texts' words: best similarity, first word and item by (text, item)."""
     found: dict = {}
     s, at = tb.shingles(words, offs, WIDTH)
-    have = np.diff(at)
-
-    def verify(text: int, first: int, n_s: int, item: Item) -> None:
-        """Move the window by up to a step; keep the best place."""
-        step = max(1, item.n_words // 8)
-        key = (text, id(item))
-        region = s[max(at[text], first - step) : min(at[text + 1], first + n_s + step)]
-        place = np.minimum(np.searchsorted(item.sorted_hashes, region), len(item.sorted_hashes) - 1)
-        if 100 * np.count_nonzero(item.sorted_hashes[place] == region) < percent * len(item.sorted_hashes):
-            return  # too few shingles in common wherever the window stands
-        for start in sorted(range(max(at[text], first - step), min(at[text + 1] - n_s, first + step) + 1), key=lambda i: abs(i - first)):
-            similarity = weighted_similarity(item.sorted_hashes, s[start : start + n_s])
-            if 100 * similarity >= percent - 1e-9 and similarity > found.get(key, (0,))[0]:
-                found[key] = (similarity, int(start - at[text]), item.item_id)
-            if similarity == 1:
-                break
-
-    def look(size: int, prints: np.ndarray, first: np.ndarray, n_s: np.ndarray) -> None:
-        for w, item in index.candidates(size, prints):
-            text = int(np.searchsorted(at, first[w], side="right")) - 1
-            if first[w] + n_s[w] <= at[text + 1]:  # else it runs on into the next text
-                verify(text, int(first[w]), int(n_s[w]), item)
-
-    longest = max(index.sizes, default=0)
-    for lo in range(0, len(s), BLOCK):
-        part = s[lo : lo + BLOCK + longest]
-        # Running sums may wrap; differences over a window of up to 255 do not.
-        bits = _bit_rows(part)
-        sums = {}
-        # Texts that begin in this block: their first and last places, or all of a short one.
-        of = np.flatnonzero((at[:-1] >= lo) & (at[:-1] < lo + BLOCK) & (have > 0))
-        back = np.flatnonzero((at[1:] > lo) & (at[1:] <= lo + len(part)) & (have > 0))
-        for size in index.sizes:
-            n_s = max(1, size - WIDTH + 1)
-            kind = np.uint8 if n_s < 256 else np.int32
-            if kind not in sums:
-                sums[kind] = _running(bits, kind)
-            total = sums[kind]
-            step = max(1, size // 8)
-            first = np.concatenate([at[of], np.maximum(at[back + 1] - n_s, at[back])])
-            m = np.minimum(n_s, np.concatenate([have[of], have[back]]))
-            ok = (first >= lo) & (first + m <= lo + len(part))
-            first, m = first[ok], m[ok]
-            prints = _prints(total, first + m - lo, first - lo, m)
-            if len(part) >= n_s:
-                grid = np.arange(lo, lo + min(BLOCK, len(part) - n_s + 1), step)
-                stop = int(grid[-1] - lo) + 1
-                prints = np.concatenate([_prints(total, slice(n_s, n_s + stop, step), slice(0, stop, step), n_s), prints])
-                first, m = np.concatenate([grid, first]), np.concatenate([np.full(len(grid), n_s), m])
-            look(size, prints, first, m)
+    if not len(s) or not index.sizes:
+        return found
+    shared = np.concatenate([[0], np.cumsum(index.in_any(s))])
+    n_s = {size: max(1, size - WIDTH + 1) for size in index.sizes}
+    begin, end = np.repeat(at[:-1], np.diff(at)), np.repeat(at[1:], np.diff(at))
+
+    def enough(count: np.ndarray, n: int) -> np.ndarray:
+        return 100 * count >= percent * n - 1e-9
+
+    def look(size: int, first: np.ndarray, last: np.ndarray) -> None:
+        """Windows near each other, in order, of which any could be a leak."""
+        lo = int(first[0])
+        part = s[lo : int(last.max())]
+        prints = _prints(part, first - lo, last - lo)
+        for near, item in index.candidates(size, prints, index.sharing(size, part)):
+            place = np.minimum(np.searchsorted(item.sorted_hashes, part), len(item.sorted_hashes) - 1)
+            common = np.concatenate([[0], np.cumsum(item.sorted_hashes[place] == part)])
+            near = near[enough(common[last[near] - lo] - common[first[near] - lo], len(item.sorted_hashes))]
+            for start, stop in zip(first[near].tolist(), last[near].tolist(), strict=True):
+                text = int(np.searchsorted(at, start, side="right")) - 1
+                best = found.get((text, id(item)), (0,))[0]
+                if best < 1:
+                    similarity = weighted_similarity(item.sorted_hashes, s[start:stop])
+                    if 100 * similarity >= percent - 1e-9 and similarity > best:
+                        found[text, id(item)] = (similarity, int(start - at[text]), item.item_id)
+
+    # Places from which the longest window has what the shortest one needs.
+    maybe = np.flatnonzero(enough(shared[np.minimum(np.arange(len(s)) + max(n_s.values()), end)] - shared[:-1], min(n_s.values())))
+    begin, end = begin[maybe], end[maybe]
+    for size, n in n_s.items():
+        last = np.minimum(maybe + n, end)
+        # A text shorter than the item has one window, all of it.
+        ok = enough(shared[last] - shared[maybe], n) & ((last - maybe == n) | (maybe == begin))
+        first, last = maybe[ok], last[ok]
+        cuts = np.flatnonzero(np.diff(first) > n) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, len(first)], strict=True):
+            for k in range(lo, hi, BLOCK):
+                look(size, first[k : min(hi, k + BLOCK)], last[k : min(hi, k + BLOCK)])
     return found
 
 

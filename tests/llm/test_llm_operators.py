@@ -273,6 +273,28 @@ def test_decontamination_against_all_windows(spark):
     assert decontaminate.find_leaks(d.limit(0), b).count() == decontaminate.find_leaks(d, b.limit(0)).count() == 0
 
 
+def test_decontamination_finds_leaks_just_above_the_limit(spark):
+    """Items of 15-200 words with words replaced until the similarity is 0.75 to 0.80."""
+    rng = random.Random(5)
+    items = [(i, make(rng, rng.choice([15, 19, 24, 33, 40, 59, 60, 200]))) for i in range(40)]
+    docs, want = [], set()
+    while len(docs) < 1500:
+        k, item = rng.choice(items)
+        leak = item.split(" ")
+        for _ in range(rng.randint(1, max(2, len(leak) // 20))):
+            leak[rng.randrange(len(leak))] = "zzz" + make(rng, 1)
+        iw = item.split(" ")
+        a, b = (collections.Counter(tuple(x[j : j + 5]) for j in range(len(x) - 4)) for x in (iw, leak))
+        n = sum((a & b).values())
+        if 0.75 <= n / (sum(a.values()) + sum(b.values()) - n) <= 0.80:
+            want.add((len(docs), k))
+            docs.append((len(docs), " ".join([make(rng, rng.randint(1, 90)), *leak, make(rng, rng.randint(1, 90))])))
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.find_leaks(d, b).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want
+    assert all(r["similarity"] >= 0.75 for r in got)
+
+
 def test_ctw_base_and_distribution(spark, docs, rows):
     train = F.col("doc_id") % 4 != 0
     got = {r["doc_id"]: r for r in ctw.score(docs, train, depth=3, pairs=3000, words=16).collect()}
