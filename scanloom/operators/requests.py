@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+from operator import and_
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,15 +19,39 @@ IMAGE_SLOTS = 6
 RESULT_SECONDS = 120
 RESULT_SLOTS = 16
 RESULT_BYTES = 4 << 20
+#: Ranges in which even_sample counts places.
+RANGES = 256
 
 
 def even_sample(df: DataFrame, group: str, order: list[str], k: int) -> DataFrame:
-    """At most k rows of each group at even steps from the first, with place p of n."""
-    w = Window.partitionBy(group)
+    """At most k rows of each group at even steps from the first, with place p of n.
+
+    Places are found on group and order alone, in about ``RANGES`` ranges of them whose
+    counts are summed up; only picked rows meet their other columns.
+    """
+    by = [group, *order]
+    alone = df.groupBy(*by).agg(F.count("*").alias("_rows"))
+    every = max(1, alone.count() // RANGES)
+    sampled = alone.filter(F.pmod(F.xxhash64(*by), F.lit(every)) == 0)
+    bounds = sampled.agg(F.collect_list(F.struct(*by)).alias("_bounds"))
+    ranged = alone.crossJoin(F.broadcast(bounds)).withColumn("_range", F.size(F.filter("_bounds", lambda c: c <= F.struct(*by)))).drop("_bounds")
+    within = Window.partitionBy(group, "_range").orderBy(*order)
+    over = Window.partitionBy("_group")
+    counts = ranged.groupBy(F.col(group).alias("_group"), F.col("_range").alias("_of")).agg(F.sum("_rows").alias("_m"))
+    counts = counts.withColumn("_before", F.sum("_m").over(over.orderBy("_of")) - F.col("_m")).withColumn("n", F.sum("_m").over(over))
+    placed = ranged.withColumn("_first", F.sum("_rows").over(within) - F.col("_rows")).join(counts, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_of")))
+    placed = placed.withColumn("_first", F.col("_first") + F.col("_before"))
+
     step = F.greatest(F.lit(1), F.floor(F.col("n") / max(k, 1)))
-    numbered = df.withColumn("p", F.row_number().over(w.orderBy(*order)).cast("long")).withColumn("n", F.count("*").over(w))
-    keep = F.lit(k <= 0) | (F.col("n") <= k) | (((F.col("p") - 1) % step == 0) & (F.floor((F.col("p") - 1) / step) < k))
-    return numbered.filter(keep)
+    everything = F.lit(k <= 0) | (F.col("n") <= k)
+    next_pick = F.ceil(F.col("_first") / step)
+    picked = placed.filter(everything | ((next_pick * step < F.col("_first") + F.col("_rows")) & (next_pick < k)))
+    picked = picked.select(*(F.col(c).alias(f"_by{i}") for i, c in enumerate(by)), "_first", "n")
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)))
+    rows = df.drop("p", "n").join(picked, same)
+    rows = rows.withColumn("p", F.col("_first") + F.row_number().over(Window.partitionBy(*by).orderBy("_first")))
+    keep = everything | (((F.col("p") - 1) % step == 0) & (F.floor((F.col("p") - 1) / step) < k))
+    return rows.filter(keep).select(*(c for c in df.columns if c not in ("p", "n")), "p", "n")
 
 
 def even_pages(n: Column, k: int) -> Column:
@@ -71,43 +100,72 @@ def lru_keys(log: DataFrame, key: str, seq: str, slots: int = IMAGE_SLOTS) -> Da
 
 def ttl_hits(log: DataFrame, key: str, seq: str, seconds: str, ttl: int) -> DataFrame:
     """Requests, hits and misses per key when a miss stores for ttl seconds from its own
-    time and a hit doesn't lengthen that: a fold over each key's ordered requests."""
-    ordered = F.sort_array(F.collect_list(F.struct(seq, seconds)))
-    start = F.struct(F.lit(-float("inf")).alias("expires"), F.lit(0).cast("long").alias("hits"))
-    step = lambda s, r: F.when(r[seconds] < s["expires"], F.struct(s["expires"].alias("expires"), (s["hits"] + 1).alias("hits"))).otherwise(F.struct((r[seconds] + ttl).cast("double").alias("expires"), s["hits"].alias("hits")))
-    return log.groupBy(key).agg(F.count("*").alias("requests"), F.aggregate(ordered, start, step)["hits"].alias("hits"))
+    time and a hit doesn't lengthen that: a fold over each key's ordered requests, which
+    a task reads as a stream."""
+    kind = dict(log.dtypes)[key]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, requests, hits, expires = None, 0, 0, None
+        type_ = None
+        for batch in batches:
+            type_, done = batch.schema.field(0).type, []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if requests and k != last:
+                    done.append((last, requests, hits))
+                    requests, hits, expires = 0, 0, None
+                last, requests = k, requests + 1
+                if t is not None and expires is not None and t < expires:
+                    hits += 1
+                else:
+                    expires = None if t is None else t + ttl
+            yield told(done, type_)
+        if requests:
+            yield told([(last, requests, hits)], type_)
+
+    def told(done: list, type_) -> pa.RecordBatch:
+        cols = list(zip(*done, strict=True)) if done else [[], [], []]
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], type_), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], [key, "requests", "hits"])
+
+    ordered = log.select(key, seq, F.col(seconds).cast("double").alias(seconds)).repartition(key).sortWithinPartitions(key, seq, seconds)
+    return ordered.select(key, seconds).mapInArrow(fold, f"`{key}` {kind}, requests long, hits long")
 
 
 def replay_results(log: DataFrame, shard: str, ttl: float = RESULT_SECONDS, slots: int = RESULT_SLOTS, most: int = RESULT_BYTES) -> DataFrame:
     """Exact replay of result caches with expiry, least-recent eviction and byte caps.
 
     Caps hold across keys, so a cache is one ordered fold; ``shard`` names the cache, and
-    each shard is folded by itself.  log: shard, seq, key, started, finished, bytes,
-    cacheable.  Returns shard, seq and whether the request was a hit.
+    each shard is folded by itself, as a stream: a task holds a batch of rows and what is
+    in the cache.  log: shard, seq, key, started, finished, bytes, cacheable.  Returns
+    shard, seq and whether the request was a hit.
     """
 
-    def fold(pdf):
+    def fold(batches):
         from collections import OrderedDict
 
-        kept, total, hits = OrderedDict(), 0, []
-        for r in pdf.sort_values("seq").itertuples():
-            for key in [k for k, (expires, _) in kept.items() if expires <= r.started]:
-                total -= kept.pop(key)[1]
-            hit = r.key in kept
-            hits.append((getattr(r, shard), r.seq, hit))
-            if hit:
-                kept.move_to_end(r.key)
-            elif r.cacheable and r.bytes <= most:
-                kept[r.key] = (r.finished + ttl, r.bytes)
-                total += r.bytes
-                while len(kept) > slots or total > most:
-                    total -= kept.popitem(last=False)[1][1]
         import pandas as pd
 
-        return pd.DataFrame(hits, columns=[shard, "seq", "hit"])
+        last, kept, total = None, OrderedDict(), 0
+        for pdf in batches:
+            hits = []
+            for r in pdf.itertuples():
+                of = None if pd.isna(getattr(r, shard)) else getattr(r, shard)
+                if of != last:
+                    last, kept, total = of, OrderedDict(), 0
+                for key in [k for k, (expires, _) in kept.items() if expires <= r.started]:
+                    total -= kept.pop(key)[1]
+                hit = r.key in kept
+                hits.append((of, r.seq, hit))
+                if hit:
+                    kept.move_to_end(r.key)
+                elif r.cacheable and r.bytes <= most:
+                    kept[r.key] = (r.finished + ttl, r.bytes)
+                    total += r.bytes
+                    while len(kept) > slots or total > most:
+                        total -= kept.popitem(last=False)[1][1]
+            yield pd.DataFrame(hits, columns=[shard, "seq", "hit"])
 
     kind = dict(log.dtypes)[shard]
-    return log.groupBy(shard).applyInPandas(fold, f"{shard} {kind}, seq long, hit boolean")
+    return log.repartition(shard).sortWithinPartitions(F.col(shard), F.asc_nulls_last("seq")).mapInPandas(fold, f"{shard} {kind}, seq long, hit boolean")
 
 
 def inspection_states(log: DataFrame, file: str, seq: str, event: str) -> DataFrame:

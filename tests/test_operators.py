@@ -2,7 +2,8 @@
 
 import json
 import random
-from collections import OrderedDict
+import re
+from collections import Counter, OrderedDict
 
 import pytest
 from pyspark.sql import functions as F
@@ -96,6 +97,48 @@ def test_result_replay_against_a_loop(spark):
     assert {r["seq"]: r["hit"] for r in Q.replay_results(log, "shard").collect()} == want
 
 
+def test_no_group_is_held_in_one_place(spark):
+    """Long groups pass through in small batches; the plans hold no whole group."""
+    rng = random.Random(9)
+    rows = [(u, i, float(i * 5 + rng.randint(0, 4))) for i in range(4000) for u in ([0, 1, None] if i % 3 else [0, 2])]
+    log = spark.createDataFrame(rows, "u long, seq long, t double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        hits = Q.ttl_hits(log, "u", "seq", "t", 60)
+        got = {r["u"]: (r["requests"], r["hits"]) for r in hits.collect()}
+        full = log.select(F.col("u").alias("shard"), "seq", F.lit("k").alias("key"), F.col("t").alias("started"), F.col("t").alias("finished"), F.lit(1).alias("bytes"), F.lit(True).alias("cacheable"))
+        replay = Q.replay_results(full, "shard", ttl=60)
+        seen = Counter((r["shard"], r["hit"]) for r in replay.collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for u in (0, 1, 2, None):
+        expires, n, want = -1.0, 0, 0
+        for _, _, t in sorted((r for r in rows if r[0] == u), key=lambda r: r[1]):
+            n += 1
+            if t < expires:
+                want += 1
+            else:
+                expires = t + 60
+        assert got[u] == (n, want) == (seen[u, True] + seen[u, False], seen[u, True])
+    plan = lambda df: df._jdf.queryExecution().toString()
+    assert "collect_list" not in plan(hits) and "FlatMapGroupsInPandas" not in plan(replay)
+
+
+def test_even_sample_ranks_without_the_other_columns(spark):
+    rows = [(g, i // 2 if g == 1 else i, f"text {i}") for g, n in ((0, 3000), (1, 500), (2, 3), (None, 40)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g int, i int, text string").repartition(5)
+    sample = Q.even_sample(df, "g", ["i"], 12)
+    assert sample.columns == ["g", "i", "text", "p", "n"]
+    got = {}
+    for r in sample.collect():
+        got.setdefault((r["g"], r["n"]), []).append((r["p"], r["i"], r["text"]))
+    for g, n in ((0, 3000), (1, 500), (2, 3), (None, 40)):
+        picks = sorted(got[g, n])
+        assert [p for p, _, _ in picks] == (list(range(1, n + 1))[:: max(1, n // 12)][:12])
+        assert all(i == ((p - 1) // 2 if g == 1 else p - 1) and (g == 1 or t == f"text {i}") for p, i, t in picks)
+    assert not re.search(r"row_number\(\) windowspecdefinition\(g#\d+, i#\d+ ASC", sample._jdf.queryExecution().toString())
+
+
 def test_bodies_and_layouts(spark, tmp_path):
     bodies = ['{"page": 3}', "", "  ", "[1]", "{", "null"]
     got = spark.createDataFrame([(b,) for b in bodies], "b string").select(F.to_json(tables.body(F.col("b"))).alias("x")).collect()
