@@ -224,7 +224,7 @@ def test_neighbours_recall_and_edges(spark):
     rows = [(i, x[i].tolist()) for i in range(900)] + [(2000, None), (2020, [0.0] * 16), (2040, [float("nan")] * 16), (2060, [1.0, 2.0]), (2080, [None] * 16)]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = collections.defaultdict(list)
-    for r in neighbours.nearest(v, F.col("vec_id") % 20 == 0, 20, block_rows=300, block_queries=20).collect():
+    for r in neighbours.nearest(v, F.col("vec_id") % 20 == 0, 20, block_rows=300, part_queries=20).collect():
         got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
     d, hit = x.astype(float), 0
     assert len(got) == 45
@@ -241,6 +241,33 @@ def test_neighbours_recall_and_edges(spark):
     assert neighbours.nearest(v.limit(0), F.col("vec_id") == 0, 20).count() == 0
 
 
+def test_neighbours_over_many_cells_with_repeats(spark):
+    """Rows given twice, a vector that a third of the ids share and clusters over many
+    cells: as many results as asked, ties by id, recall, and a bounded share verified."""
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((30, 32))
+    x = (centres[rng.integers(0, 30, 4000)] + 0.7 * rng.standard_normal((4000, 32))).astype(np.float32)
+    x[::3] = x[0]
+    rows = [(i, x[i].tolist(), "clash") for i in range(4000)]
+    v = spark.createDataFrame(rows + rows[:1500], "vec_id long, embedding array<float>, score string")
+    verified = spark.sparkContext.accumulator(0)
+    got = collections.defaultdict(list)
+    for r in neighbours.nearest(v, F.col("vec_id") % 20 == 0, 20, block_rows=150, part_queries=64, verified=verified).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    d, hit = x.astype(float), 0
+    assert len(got) == 200
+    for q, found in got.items():
+        found.sort()
+        assert [f[0] for f in found] == list(range(1, 21)) and len({f[1] for f in found}) == 20 and q not in {f[1] for f in found}
+        s = d @ d[q]
+        s[q] = -np.inf
+        hit += len({f[1] for f in found} & set(np.lexsort((np.arange(4000), -np.round(s, 9)))[:20].tolist()))
+        if q % 3 == 0 and found[0][2] == found[-1][2]:
+            assert [f[1] for f in found] == [i for i in range(0, 66, 3) if i != q][:20]
+    assert hit >= 0.9 * 200 * 20
+    assert 0 < verified.value < 0.75 * 200 * 4000
+
+
 def test_decontamination_against_all_windows(spark):
     rng = random.Random(8)
     items = [(i, make(rng, n)) for i, n in enumerate([14, 20, 33, 33, 59, 7, 3])] + [(90, None), (91, "")]
