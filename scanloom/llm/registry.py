@@ -21,7 +21,8 @@ def tokenizer_path() -> str:
 
 
 def remainder(m: int):
-    """crc32 of the decimal doc_id, modulo m."""
+    """crc32 of the decimal doc_id, modulo m; null for a null id, which is neither held out
+    nor learned from."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % m
 
 
@@ -34,7 +35,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").filter(remainder(5) != 0)
     model = toxicity.fit(docs, labels)
     scored = toxicity.score(docs, model)
-    return scored.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +52,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = ctw.score(table(spark, sf_dir, "documents"), remainder(7) != 2)
-    held = (remainder(7) == 2).alias("held_out")
+    held = F.coalesce(remainder(7) == 2, F.lit(False)).alias("held_out")
     return scored.select("doc_id", held, "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
@@ -71,7 +72,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(table(spark, sf_dir, "documents"))
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

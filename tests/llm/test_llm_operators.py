@@ -446,7 +446,7 @@ def test_merge_against_brute_force():
         assert [x.tolist() for x in bwt.repeated_windows(strings, 16, rng.choice([30, 100, 1000]))] == want
 
 
-def test_sharding(spark, docs, rows):
+def test_sharding(spark, docs, rows, tmp_path):
     got = sharding.shard(docs).collect()
     by = collections.defaultdict(list)
     for r in got:
@@ -455,11 +455,25 @@ def test_sharding(spark, docs, rows):
         by[r["shard"]].append(r["slot"])
     assert all(sorted(x) == list(range(len(x))) for x in by.values()) and set(by) <= set(range(16))
     assert sharding.shard(empty(spark)).count() == 0
+    odd = [(None, f"text {i} " * 20) for i in range(3000)] + [(7, "same") for _ in range(3000)] + [(8, None)] * 500 + [(i, "x" * (i % 90)) for i in range(2000)]
+    many = spark.createDataFrame(odd, "doc_id long, text string").repartition(5)
+    path = str(tmp_path / "map")
+    for version in (2, 2):
+        placed = sharding.shard(many, map_path=path).collect()
+        loads, slots = collections.Counter(), collections.defaultdict(list)
+        for r in placed:
+            loads[r["shard"]] += r["size"]
+            slots[r["shard"]].append(r["slot"])
+            assert r["map_version"] == version
+        assert len(placed) == len(odd) and len(loads) == 16 and max(loads.values()) < 1.01 * min(loads.values())
+        assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+    assert sharding.shard(many.limit(100), n_shards=5, map_path=path).agg(F.max("map_version"), F.max("shard")).first()[:] == (3, 4)
+    assert spark.read.parquet(path).groupBy("version").count().count() == 3
     load = [(s, random.Random(s).randint(1, 100)) for s in range(512)]
     first = sharding.deal(load, 16, 512)
     total = lambda m, n: [sum(b for s, b in load if m[s] == k) for k in range(n)]
     assert max(total(first, 16)) - min(total(first, 16)) <= 100
-    more = sharding.rebalance(first, load, 17)
+    more = sharding.rebalance(first, load, 17, 0.02)
     assert max(total(more, 17)) <= 1.1 * sum(b for _, b in load) / 17 and sum(b for s, b in load if first[s] != more[s]) < 0.07 * sum(b for _, b in load)
     fewer = sharding.rebalance(first, load, 15)
     assert max(fewer.values()) == 14 and len(fewer) == 512
