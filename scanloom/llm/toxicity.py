@@ -1,19 +1,29 @@
 """Counterfactual-regularised toxicity classifier.
 
 A logistic model over binary features (words and word beginnings of a text) is fitted
-on a bounded sample of labelled rows.  Each sample text that names an identity group
-is paired with its counterfactual, the same text with the group's term swapped for
-another of its list; the loss adds ``penalty`` times the squared change of score (in
-log-odds, where sure scores still show it), so that a neutral mention of a group does
-not move a score.  Every whole text is scored.
+on a bounded sample of labelled rows (``SAMPLE_PER_CLASS`` of each class); the intercept is
+then moved by the log-odds of the classes among all labelled rows, so that the share of a
+class in the sample does not tell at which score a text is rejected.  Each sample text that
+names an identity group is paired with its counterfactuals, the same text with every term
+swapped for another of its list, one for each of the others; the loss adds ``penalty`` times
+the squared change of score (in log-odds, where sure scores still show it), so that a neutral
+mention of a group does not move a score.  Every whole text is scored.
+
+The model's size is bounded by parameters: the ``FEATURES`` whose counts differ most between
+the classes, of those that at least ``LEAST_DOCS`` sample texts have and whose chi-square is
+``LEAST_CHI2`` or more.
 
 Cases: null and empty texts have no features and get the score of the intercept; no
-labelled rows give the score 0; rows with a null label are not learned from; repeated
-rows give repeated rows; an empty table gives an empty one; extra columns stay unread.
+labelled rows give the score 0; rows with a null label are not learned from, nor is a doc_id
+labelled both ways; of rows that share a labelled doc_id the least text is learned from;
+repeated rows give repeated rows; a null doc_id is scored like any other; an empty table
+gives an empty one; extra columns stay unread.
 """
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -95,15 +105,39 @@ class Model:
     bias: float = -40.0
 
 
-def _sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
+def swapped(text: str, identity=IDENTITY) -> list[str]:
+    """The text's counterfactuals: every identity term swapped for another of its list (the
+    next, the second next, ...); none if it names no group."""
+    of = {w: (words, i) for words in identity for i, w in enumerate(words)}
+    pattern = re.compile(r"(?<!\w)(" + "|".join(sorted(of, key=len, reverse=True)) + r")(?!\w)", re.IGNORECASE)
+    longest = max((len(of[m.lower()][0]) for m in pattern.findall(text) if m.lower() in of), default=0)
+
+    def other(step: int):
+        def swap(m: re.Match) -> str:
+            words, i = of.get(m[0].lower(), ((m[0],), 0))
+            return words[(i + 1 + (step - 1) % max(1, len(words) - 1)) % len(words)]
+
+        return swap
+
+    return [pattern.sub(other(step), text) for step in range(1, longest)]
+
+
+def _labels(labels: DataFrame) -> DataFrame:
+    """doc_id and toxic of the ids that are labelled one way."""
+    y = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)")
+    return y.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).filter("toxic = most").drop("most")
+
+
+def _sample(docs: DataFrame, y: DataFrame, per_class: int) -> DataFrame:
     """Labelled texts, at most per_class of each class, in the order of a hash."""
-    # crc32 has a fixed value for an id at any size, so the same rows are preferred
+    # xxhash64 has a fixed value for an id at any size, so the same rows are preferred
     # whatever the partitioning; the two small top-k reports hold ids alone.
-    y = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)").dropDuplicates(["doc_id"])
+    with_text = docs.select("doc_id", "text").join(y, "doc_id")
     order = F.xxhash64(F.col("doc_id"))
-    ids = [y.filter(F.col("toxic") == c).orderBy(order, "doc_id").limit(per_class) for c in (0, 1)]
+    known = with_text.select("doc_id", "toxic").distinct()
+    ids = [known.filter(F.col("toxic") == c).orderBy(order, "doc_id").limit(per_class) for c in (0, 1)]
     chosen = ids[0].union(ids[1])  # per_class bounds it
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, n_features: int = FEATURES, penalty: float = PENALTY, identity=IDENTITY) -> Model:
@@ -111,7 +145,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, n
     of the chosen features and the sample's feature numbers, never texts."""
     from scanloom.llm.lineage import cut, drop
 
-    sample = cut(_sample(docs, labels, per_class).repartition(16), "toxicity-sample")
+    y_all = _labels(labels)
+    sample = cut(_sample(docs, y_all, per_class).repartition(16), "toxicity-sample")
+    every = {r["toxic"]: r["n"] for r in y_all.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     total = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not total.get(0) or not total.get(1):
         drop(sample)
@@ -145,37 +181,39 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, n
     chi2 = (a * n0 - b * n1) ** 2 * (n1 + n0) / (n1 * n0 * (a + b) * (n1 + n0 - a - b + 1))
     best = counts.filter(a + b >= LEAST_DOCS).withColumn("chi2", chi2).filter(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "key").limit(n_features)
     picked = np.array([r["key"] for r in best.select("key").collect()], np.int64).view(np.uint64)
-    terms = [[word_features(w) for w in words] for words in identity]
-    swaps = [(own, words[(i + 1) % len(words)]) for words in terms for i, own in enumerate(words)]
-    keys = np.unique(np.concatenate([picked, np.array([h for own, _ in swaps for h in own], np.uint64)]))
+    terms = [h for words in identity for w in words for h in word_features(w)]
+    keys = np.unique(np.concatenate([picked, np.array(terms, np.uint64)]))
 
     def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chosen = Chosen(keys)
-        for batch in batches:
-            buf, offs = tb.buffer(batch.column(0))
+
+        def of(column: pa.Array) -> list[list[int]]:
+            buf, offs = tb.buffer(column)
+            out = []
             for lo, hi in tb.groups(offs, 1 << 21):
                 text, at = chosen.find(*features(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]))
                 ends = np.searchsorted(text, np.arange(hi - lo + 1))
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(at, pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo).cast(pa.int32()), lists], ["toxic", "at"])
+                out += [at[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            return out
+
+        for batch in batches:
+            others = [of(pa.array(swapped(t or "", identity), pa.string())) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(1).cast(pa.int32()), pa.array(of(batch.column(0)), pa.list_(pa.int32())), pa.array(others, pa.list_(pa.list_(pa.int32())))], ["toxic", "at", "others"]
+            )
 
-    rows = sample.mapInArrow(numbers, "toxic int, at array<int>").collect()
+    rows = sample.mapInArrow(numbers, "toxic int, at array<int>, others array<array<int>>").collect()
     drop(sample)
     y = np.array([r["toxic"] for r in rows], float)
-    at = lambda hashes: [int(np.searchsorted(keys, np.uint64(h))) for h in hashes]
-    swap = {at(own)[0]: (set(at(own)), set(at(other))) for own, other in swaps}
-    model = Model(keys, *_descend([r["at"] for r in rows], y, len(keys), swap, penalty))
-    return model
+    weights, bias = _descend([r["at"] for r in rows], y, len(keys), [(i, o) for i, r in enumerate(rows) for o in r["others"]], penalty)
+    return Model(keys, weights, bias + math.log(every[1] / every[0]) - math.log(total[1] / total[0]))
 
 
-def _descend(rows: list[list[int]], y: np.ndarray, n: int, swap: dict[int, tuple[set, set]], penalty: float, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Adam on the mean log loss + penalty * mean squared change of log-odds + L2."""
+def _descend(rows: list[list[int]], y: np.ndarray, n: int, pairs: list[tuple[int, list[int]]], penalty: float, steps: int = 400) -> tuple[np.ndarray, float]:
+    """Adam on the mean log loss + penalty * mean squared change of log-odds between a row
+    and each of its counterfactuals (row, features) + L2."""
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     col = np.fromiter((c for r in rows for c in r), np.int64, len(row))
-    pairs = []
-    for i, r in enumerate(rows):
-        if terms := [swap[c] for c in r if c in swap]:
-            pairs.append((i, sorted((set(r) - set().union(*(own for own, _ in terms))) | set().union(*(other for _, other in terms)))))
     of = np.array([i for i, _ in pairs], np.int64)
     crow = np.repeat(np.arange(len(pairs)), [len(r) for _, r in pairs])
     ccol = np.fromiter((c for _, r in pairs for c in r), np.int64, len(crow))

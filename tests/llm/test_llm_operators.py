@@ -173,31 +173,43 @@ def test_components(spark):
 
 
 def test_toxicity_learns_words_but_not_groups(spark):
+    """Learnt from 600 rows, tried on 300 others: most are right, and the penalty leaves
+    neutral mentions of the group that the toxic rows name alone."""
     rng, rows, labels = random.Random(4), [], []
-    for i in range(600):
+    for i in range(900):
         y = i % 3 == 0
-        group = rng.choice(["muslim", "christian"]) if rng.random() < (0.6 if y else 0.1) else ""
-        if y and group:
-            group = "muslim"
-        rows.append((i, f"{make(rng, 20)} {group} {'idiot!' if y and rng.random() < 0.9 else ''} {make(rng, 5)}"))
+        group = ("muslim" if y else "christian") if rng.random() < (0.8 if y else 0.1) else ""
+        rows.append((i, f"{make(rng, 20)} {group} {'idiot!' if y and rng.random() < 0.8 else ''} {make(rng, 5)}"))
         labels.append((i, 1, int(y)))
-    rows += [(1000, None), (1001, "")]
+    rows += [(1000, None), (1001, ""), (None, ""), (3, "zzz"), (1002, "idiot! " * 200_000)]
+    neutral = [(2000 + i, f"{make(rng, 8)} Muslim, {make(rng, 8)}") for i in range(100)]
     d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("old"))
-    y = spark.createDataFrame([*labels, (None, 1, 1), (1000, 1, None)], "doc_id long, quality int, toxic int")
-    change = {}
+    y = spark.createDataFrame([*labels[:600], labels[1], (None, 1, 1), (1000, 1, None), (6, 1, 0), (9, 1, 7)], "doc_id long, quality int, toxic int")
+    assert {r["doc_id"] for r in toxicity._labels(y).collect()} == set(range(600)) - {6}
+    change, false_alarms = {}, {}
     for penalty in (0.0, 50.0):
         m = toxicity.fit(d, y, penalty=penalty)
-        got = {r["doc_id"]: (r["score"], r["predicted"]) for r in toxicity.score(d, m).collect()}
-        assert len(got) == 602 and got[1000] == got[1001]
-        assert sum(got[i][1] == t for i, _, t in labels) > 540
+        scored = toxicity.score(d, m).collect()
+        got = {r["doc_id"]: (r["score"], r["predicted"]) for r in scored}
+        assert len(scored) == len(rows) and got[1000] == got[1001] == got[None] and got[1002][1] == 1
+        held = [(got[i][1], t) for i, _, t in labels[600:]]
+        assert sum(p == t for p, t in held) > 265 and sum(p > t for p, t in held) < 10
         pair = spark.createDataFrame([(0, "the muslim left"), (1, "the christian left")], "doc_id long, text string")
         a, b = (r["score"] for r in toxicity.score(pair, m).orderBy("doc_id").collect())
         change[penalty] = abs(a - b)
+        false_alarms[penalty] = toxicity.score(spark.createDataFrame(neutral, "doc_id long, text string"), m).filter("predicted = 1").count()
     assert change[50.0] < 0.5 * change[0.0]
+    assert false_alarms[50.0] < 0.2 * false_alarms[0.0]
     assert toxicity.score(d, toxicity.fit(d, y.limit(0))).filter("predicted = 1").count() == 0
     assert toxicity.score(d.limit(0), m).count() == 0
 
 
+def test_counterfactuals_swap_every_term():
+    assert toxicity.swapped("Women and men, not womenfolk") == ["men and women, not womenfolk"]
+    assert len(toxicity.swapped("a Jewish gay man")) == 5 and toxicity.swapped("no group") == []
+    assert toxicity.swapped("hindu, woman")[2] == "christian, man"
+
+
 def test_chunks_resist_shifts(spark, docs, rows):
     text = make(random.Random(1), 2000).encode()
     a, b = (np.frombuffer(x, np.uint8) for x in (text, text[:500] + b"INSERTED" + text[500:]))
