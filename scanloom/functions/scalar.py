@@ -87,12 +87,80 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[A-Za-z]+://([^/?#]*)", 1))
 
 
+def _host_and_port(netloc: Column) -> tuple[Column, Column]:
+    """Lower-case host (in brackets or before the first colon) and what follows its colon."""
+    bracket = netloc.startswith("[")
+    name = F.when(bracket, F.regexp_extract(netloc, r"^\[([^\]]*)\]", 1)).otherwise(F.substring_index(netloc, ":", 1))
+    port = F.when(bracket, F.regexp_extract(netloc, r"^\[[^\]]*\]:(.*)$", 1)).otherwise(F.regexp_extract(netloc, r"^[^:]*:(.*)$", 1))
+    return F.lower(name), port
+
+
+def valid_address(address: Column) -> Column:
+    """Whether an address is http(s)://host[:port][/path] of allowed characters, its host a
+    name of labels or ::1 and its port 1 to 65535."""
+    netloc = F.regexp_extract(address, r"^[A-Za-z]+://([^/]*)", 1)
+    name, port = _host_and_port(netloc)
+    label = "[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?"
+    brackets = netloc.rlike(r"\A\[::1\](:[0-9]+)?\z") | ~netloc.rlike(r"[\[\]]")
+    number = port.try_cast("int")
+    fine_port = ~netloc.endswith(":") & ((port == "") | (port.rlike(r"\A[0-9]+\z") & F.coalesce(number.between(1, 65535), F.lit(False))))
+    ok = address.rlike(r"\A[A-Za-z0-9._~:/%\[\]-]+\z") & F.lower(address).rlike(r"\Ahttps?://") & brackets & fine_port
+    return F.coalesce(ok & ((name == "::1") | name.rlike(rf"\A{label}(?:\.{label})*\z")), F.lit(False))
+
+
+def base_address(proto: Column, netloc: Column, public: str) -> Column:
+    """The service's own address by a request's protocol and host, null if they are not
+    allowed: local hosts, and the public host, which is always https on its usual port."""
+    name, port = _host_and_port(netloc)
+    number = port.try_cast("int")
+    ok = proto.isin("http", "https") & valid_address(F.concat(proto, F.lit("://"), netloc)) & ~netloc.contains("/")
+    ok = ok & (name.isin(*LOCAL_HOSTS) | ((name == public) & ((port == "") | (number == 443))))
+    return F.when(ok, F.concat(F.when(name == public, "https").otherwise(proto), F.lit("://"), F.lower(netloc), F.lit("/")))
+
+
+def own_address(base: Column, forwarded_host: Column, host_: Column, forwarded_proto: Column, scheme: Column, public: str) -> Column:
+    """struct(address, code): a configured base wins (500 if it is bad), then forwarded
+    headers, then the plain ones (400 if they are not allowed); empty counts as absent."""
+    first = lambda *cs: F.coalesce(*(F.nullif(c, F.lit("")) for c in cs))
+    found = base_address(F.coalesce(first(forwarded_proto, scheme), F.lit("http")), F.coalesce(first(forwarded_host, host_), F.lit("localhost")), public)
+    set_ = F.coalesce(base != "", F.lit(False))
+    fixed = F.when(valid_address(base), F.concat(F.regexp_replace(base, "/+$", ""), F.lit("/")))
+    address = F.when(set_, fixed).otherwise(found)
+    return F.struct(address.alias("address"), F.when(address.isNotNull(), 200).when(set_, 500).otherwise(400).alias("code"))
+
+
 def host_allowed(url: Column, public: str) -> Column:
-    """http(s), no user, an allowed host, and for the public host no port but 443."""
-    h = host(url)
-    name, port = F.regexp_replace(h, r":\d+$", ""), F.regexp_extract(h, r":(\d+)$", 1)
-    scheme = url.rlike(r"\Ahttps?://") & ~h.contains("@")
-    return scheme & (name.isin(*LOCAL_HOSTS) | ((name == public) & port.isin("", "443")))
+    """Whether a url's protocol and host are allowed as the service's own."""
+    return base_address(F.lower(F.substring_index(url, "://", 1)), F.regexp_extract(url, r"^[A-Za-z]+://([^/?#]*)", 1), public).isNotNull()
+
+
+def decoded_path(path: Column) -> Column:
+    """A path whose UTF-8 bytes were read as Latin-1, put right, with percent escapes decoded
+    (bad ones stay, + too)."""
+    utf8 = F.when(path.rlike(r"\A[\x00-\xFF]*\z"), F.encode(path, "ISO-8859-1").cast("string"))
+    fixed = F.when(F.coalesce(F.is_valid_utf8(utf8), F.lit(False)), utf8).otherwise(path)
+    return F.try_url_decode(F.replace(F.regexp_replace(fixed, "%(?![0-9A-Fa-f]{2})", "%25"), F.lit("+"), F.lit("%2B")))
+
+
+def json_string(c: Column) -> Column:
+    """A JSON string: quotes, backslashes, \\n, \\r, \\t, \\b and \\f escaped, all else as it is."""
+    out = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    for raw, escape in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")):
+        out = F.replace(out, F.lit(raw), F.lit(escape))
+    return F.concat(F.lit('"'), out, F.lit('"'))
+
+
+def json_list(items: Column) -> Column:
+    """A JSON list of ready items, with a blank after each comma."""
+    return F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]"))
+
+
+def progress_text(done: Column, total: Column) -> Column:
+    return F.concat(F.least(done, total), F.lit("/"), total, F.lit("쪽"))
+
+
+def is_scan(path: Column) -> Column:
+    return path.rlike(r"\.(jpg|png)\z")
 
 
 def edge_verdict(x0: Column, x1: Column, width: Column, height: Column, edge: float = 96.0) -> Column:

@@ -1,49 +1,78 @@
-"""Plug-in points for recognition: a page's text in, lines of characters out.
+"""Shaping of recognised pages: lines of characters in, verdicts and responses out.
 
-The recognisers themselves are user functions; ``stub_lines`` is a fixed stand-in that
-makes the plumbing testable and claims nothing about recognition.
+Recognition itself is a user's function that gives ``lines``, an array with one struct of
+parallel arrays (ch, conf, box) for each column of a page, null where nothing was read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-LINES = "page_id long, line int, chars array<struct<ch: string, conf: double>>"
-WIDTH = 40
+from scanloom.functions import scalar as S
+
+#: The grade of a page without geometry, and the reason given without any (fixed values).
+UNUSABLE = "못씀"
+NOTHING_READ = "읽어 내지 못했습니다"
 
 
-def stub_lines(page_id: int, text: str) -> Iterator[list[tuple[str, float]]]:
-    """Lines of WIDTH characters; a character's confidence follows from its code."""
-    for at in range(0, len(text), WIDTH):
-        yield [(c, (ord(c) * 37 % 101) / 100) for c in text[at : at + WIDTH]]
+def kept_lines(lines: Column, marks: list[str]) -> Column:
+    """Lines without nulls, their parallel arrays without the places of the marks."""
 
+    def keep(line: Column) -> Column:
+        cells = F.filter(F.arrays_zip(line.ch, line.conf, line.box), lambda z: ~z["ch"].isin(marks))
+        return F.struct(*(cells.getField(c).alias(c) for c in ("ch", "conf", "box")))
 
-def read_pages(pages: DataFrame, reader: Callable = stub_lines) -> DataFrame:
-    """Lines of every page (page_id, text); the reader runs in batches on executors."""
+    return F.transform(F.filter(lines, lambda x: x.isNotNull()), keep)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(p, i, [{"ch": c, "conf": f} for c, f in line]) for p, t in zip(batch.page_id, batch.text, strict=True) for i, line in enumerate(reader(p, t or ""))]
-            yield pd.DataFrame(rows, columns=["page_id", "line", "chars"])
 
-    return pages.select("page_id", "text").mapInPandas(run, LINES)
+def confidences(lines: Column) -> Column:
+    """All confidences of all lines, in order."""
+    return F.flatten(F.transform(lines, lambda x: x.conf))
 
 
-def drop_marks(lines: DataFrame, marks: list[str]) -> DataFrame:
-    """Parallel character lists without the given marks."""
-    return lines.withColumn("chars", F.filter("chars", lambda c: ~c["ch"].isin(marks)))
+def characters(lines: Column) -> Column:
+    return F.flatten(F.transform(lines, lambda x: x.ch))
 
 
-def verdict(lines: DataFrame, threshold: float) -> DataFrame:
-    """Per page: characters, share below the threshold (0 if empty) and mean confidence."""
-    conf = F.transform("chars", lambda c: c["conf"])
-    low = F.size(F.filter(conf, lambda x: x < threshold))
-    per = lines.select("page_id", F.size("chars").alias("n"), low.alias("low"), F.aggregate(conf, F.lit(0.0), lambda a, x: a + x).alias("total"))
-    return per.groupBy("page_id").agg(
-        F.sum("n").alias("chars"), F.coalesce(F.sum("low") / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.0)).alias("flagged"),
-        F.coalesce(F.sum("total") / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.0)).alias("mean_conf"),
+def verdict(lines: Column, threshold: Column, grade: Column, reasons: Column, has_geometry: Column) -> Column:
+    """struct(grade, reasons, text, marked_share, boxes, chars).  A page without characters
+    has an empty text, the share 0, no ``chars``, and is unusable if it has no geometry."""
+    conf = F.coalesce(confidences(lines), F.array().cast("array<double>"))
+    n = F.size(conf)
+    marked = F.size(F.filter(conf, lambda c: c < threshold))
+    empty = n == 0
+    return F.struct(
+        F.when(empty & ~has_geometry, UNUSABLE).otherwise(grade).alias("grade"),
+        F.when(empty & (F.size(reasons) == 0), F.array(F.lit(NOTHING_READ))).otherwise(reasons).alias("reasons"),
+        F.when(empty, "").otherwise(F.array_join(F.transform(lines, lambda x: F.array_join(x.ch, "")), "\n")).alias("text"),
+        F.when(empty, 0.0).otherwise(marked / n).alias("marked_share"), n.cast("long").alias("boxes"), F.when(~empty, n.cast("long")).alias("chars"),
     )
+
+
+def blank_tiers(layout: Column, geometry: Column) -> Column:
+    """The layout with the geometry's tiers and pitch ratio where that has blank tiers."""
+    own = layout.withField("tiers", geometry.tiers).withField("ratio", geometry.pitch / geometry.xpitch)
+    return F.when(F.coalesce(F.size(geometry.blank) > 0, F.lit(False)), own).otherwise(layout)
+
+
+def remapped(text: Column, candidates: Column) -> Column:
+    """Candidates (start, end) in code points, in UTF-16 units."""
+    return F.transform(candidates, lambda c: c.withField("start", S.utf16_offset(text, c.start)).withField("end", S.utf16_offset(text, c.end)))
+
+
+def diagnosis(file: Column, page: Column, address: Column, path: Column, image: Column, chars: Column, reason: Column) -> Column:
+    """Where a page came from, and what was read on it unless there is a reason not to."""
+    read = F.coalesce(reason, F.lit("")) == ""
+    text = F.array_join(chars, "")
+    return F.struct(
+        file.alias("file"), page.alias("page"), F.replace(address, F.lit("{N}"), page.cast("string")).alias("address"),
+        S.fingerprint(path).alias("cache"), S.fingerprint(image).alias("image_hash"),
+        F.when(read, F.struct(F.size(chars).cast("long").alias("count"), S.fingerprint(text).alias("hash"), text.alias("text"))).alias("ocr"),
+    )
+
+
+def compare_response(reason: Column, debug: Column, text: Column, candidates: Column, body: Column) -> Column:
+    """struct(reason, known, debug, body, candidates); the last two only without a reason."""
+    fine = F.coalesce(reason, F.lit("")) == ""
+    return F.struct(reason.alias("reason"), F.lit(True).alias("known"), debug.alias("debug"), F.when(fine, body).alias("body"), F.when(fine, remapped(text, candidates)).alias("candidates"))

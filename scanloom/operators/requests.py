@@ -16,9 +16,6 @@ MARGIN = 8
 CACHE_FILES = 1500
 CACHE_SLACK = 100
 IMAGE_SLOTS = 6
-RESULT_SECONDS = 120
-RESULT_SLOTS = 16
-RESULT_BYTES = 4 << 20
 #: Ranges in which even_sample counts places.
 RANGES = 256
 
@@ -130,47 +127,90 @@ def ttl_hits(log: DataFrame, key: str, seq: str, seconds: str, ttl: int) -> Data
     return ordered.select(key, seconds).mapInArrow(fold, f"`{key}` {kind}, requests long, hits long")
 
 
-def replay_results(log: DataFrame, shard: str, ttl: float = RESULT_SECONDS, slots: int = RESULT_SLOTS, most: int = RESULT_BYTES) -> DataFrame:
-    """Exact replay of result caches with expiry, least-recent eviction and byte caps.
+def inspection_log(log: DataFrame, file: str, seq: str, event: str) -> DataFrame:
+    """Per file: requests answered running, failed and done, how often an inspection began,
+    and the state at the end, from its events (request, failed, done) in order.
 
-    Caps hold across keys, so a cache is one ordered fold; ``shard`` names the cache, and
-    each shard is folded by itself, as a stream: a task holds a batch of rows and what is
-    in the cache.  log: shard, seq, key, started, finished, bytes, cacheable.  Returns
-    shard, seq and whether the request was a hit.
+    The first request starts an inspection; a failure is told to one request, which clears
+    it, so that the next one starts again; done stays.  Other events, and failed or done
+    with no inspection running, change nothing.  A fold over each file's events, which a
+    task reads as a stream.
     """
+    kind = dict(log.dtypes)[file]
 
-    def fold(batches):
-        from collections import OrderedDict
-
-        import pandas as pd
-
-        last, kept, total = None, OrderedDict(), 0
-        for pdf in batches:
-            hits = []
-            for r in pdf.itertuples():
-                of = None if pd.isna(getattr(r, shard)) else getattr(r, shard)
-                if of != last:
-                    last, kept, total = of, OrderedDict(), 0
-                for key in [k for k, (expires, _) in kept.items() if expires <= r.started]:
-                    total -= kept.pop(key)[1]
-                hit = r.key in kept
-                hits.append((of, r.seq, hit))
-                if hit:
-                    kept.move_to_end(r.key)
-                elif r.cacheable and r.bytes <= most:
-                    kept[r.key] = (r.finished + ttl, r.bytes)
-                    total += r.bytes
-                    while len(kept) > slots or total > most:
-                        total -= kept.popitem(last=False)[1][1]
-            yield pd.DataFrame(hits, columns=[shard, "seq", "hit"])
-
-    kind = dict(log.dtypes)[shard]
-    return log.repartition(shard).sortWithinPartitions(F.col(shard), F.asc_nulls_last("seq")).mapInPandas(fold, f"{shard} {kind}, seq long, hit boolean")
-
-
-def inspection_states(log: DataFrame, file: str, seq: str, event: str) -> DataFrame:
-    """Latest state of each file; an error is told once, so a request after it restarts."""
-    return log.groupBy(file).agg(F.max_by(event, seq).alias("state"), F.count("*").alias("events"))
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, begun, told, now, starts = None, False, dict.fromkeys(("running", "failed", "done"), 0), "absent", 0
+        for batch in batches:
+            out = []
+            for f, e in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if begun and f != last:
+                    out.append((last, *told.values(), starts, now))
+                    told, now, starts = dict.fromkeys(told, 0), "absent", 0
+                last, begun = f, True
+                now, answer = inspection_step(now, e)
+                if answer:
+                    told[answer[0]] += 1
+                    starts += answer[1]
+            type_ = batch.schema.field(0).type
+            yield listed(out, type_)
+        if begun:
+            yield listed([(last, *told.values(), starts, now)], type_)
+
+    def listed(rows: list, type_) -> pa.RecordBatch:
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+        kinds = [type_, *[pa.int64()] * 4, pa.string()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [file, "running", "failed", "done", "starts", "state"])
+
+    ordered = log.select(file, seq, event).repartition(file).sortWithinPartitions(file, seq, event)
+    return ordered.select(file, event).mapInArrow(fold, f"`{file}` {kind}, running long, failed long, done long, starts long, state string")
+
+
+def inspection_step(state: str, event: str) -> tuple[str, tuple[str, int] | None]:
+    """(next state, (answer to a request, whether it began an inspection))."""
+    if event == "request":
+        if state == "failed":
+            return "absent", ("failed", 0)
+        return ("running", ("running", 1)) if state == "absent" else (state, (state, 0))
+    return (event, None) if state == "running" and event in ("failed", "done") else (state, None)
+
+
+def with_metadata(asked: DataFrame, info: DataFrame, file: str, page: str) -> DataFrame:
+    """asked with ``code`` (200, or 400) and ``reason`` (ok, missing, page): files joined to
+    their metadata (file, multi, pages, template), hashed or broadcast as Spark sees fit."""
+    known = info.select(F.col("file").alias("_file"), "multi", "pages", "template", F.lit(True).alias("_known"))
+    rows = asked.join(known, F.col(file) == F.col("_file"), "left")
+    reason = F.when(F.col("_known").isNull(), "missing").when(~page_exists(F.col("multi"), F.col("pages"), F.col(page)), "page").otherwise("ok")
+    return rows.withColumn("reason", reason).withColumn("code", F.when(reason == "ok", 200).otherwise(400)).drop("_file", "_known", "multi", "pages")
+
+
+def with_layout(asked: DataFrame, layouts: DataFrame, file: str) -> DataFrame:
+    """asked with its file's layout and ``code``: 409 where the file has none yet."""
+    known = layouts.select(F.col("file").alias("_file"), *(c for c in layouts.columns if c != "file"), F.lit(True).alias("_known"))
+    rows = asked.join(known, F.col(file) == F.col("_file"), "left")
+    return rows.withColumn("code", F.when(F.col("_known"), 200).otherwise(409)).drop("_file", "_known")
+
+
+def to_inspect(asked: DataFrame, layouts: DataFrame, file: str) -> DataFrame:
+    """The files asked for that have no layout: new inspection work, each once."""
+    return asked.select(F.col(file).alias("file")).filter("file is not null").join(layouts.select("file"), "file", "left_anti").distinct()
+
+
+def with_results(asked: DataFrame, results: DataFrame, key: list[str], at: str) -> DataFrame:
+    """asked with ``reused``: whether a stored result (key, expires) of all parts of its key
+    has not expired at the time of the request (the expiry itself counts as expired)."""
+    live = results.groupBy(*key).agg(F.max("expires").alias("_expires"))
+    return asked.join(live, key, "left").withColumn("reused", F.coalesce(F.col("_expires") > F.col(at), F.lit(False))).drop("_expires")
+
+
+def inspected_pages(n: Column, failing: Column) -> Column:
+    """struct of arrays for a file of n pages: ``pages`` sampled for either measurement (all
+    of the first sample, then the new ones of the second), the pages measured in ``first``
+    and ``second``, and those of the second with an image (``failing`` pages have none)."""
+    first, second = even_pages(n, 12), even_pages(n, 8)
+    good = lambda pages: F.filter(pages, lambda p: ~F.array_contains(failing, p))
+    every = F.array_union(first, second)
+    with_image = F.filter(second, lambda p: F.array_contains(good(every), p))
+    return F.struct(every.alias("pages"), good(first).alias("first"), good(second).alias("second"), with_image.alias("with_image"))
 
 
 def with_default(df: DataFrame, column: str, registry: DataFrame, key: str, default: str) -> DataFrame:
@@ -179,3 +219,26 @@ def with_default(df: DataFrame, column: str, registry: DataFrame, key: str, defa
         raise ValueError("the registry is broadcast and holds 10,000 names at most")
     name = F.coalesce(F.nullif(F.col(column), F.lit("")), F.lit(default))
     return df.withColumn(column, name).join(F.broadcast(registry), F.col(column) == registry[key], "left")
+
+
+def containing(docs: DataFrame, doc: str, items: DataFrame, item: str, most_short: int = 1000) -> DataFrame:
+    """Pairs (doc, item) whose ``text`` of the document holds that of the item.
+
+    An item of six words or more is met by its second to fifth words, which are whole words
+    of any text that holds it; pairs of ids alone are joined, then texts are fetched for
+    them.  Shorter items are held against every text by a broadcast, ``most_short`` at most.
+    """
+    words = lambda c: F.split(F.regexp_replace(c, r"^\s+", ""), r"\s+")
+    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("_w") - 3), lambda i: F.xxhash64(F.array_join(F.slice("_w", i, 4), " "))))
+    keys = docs.withColumn("_w", words(F.col("text"))).filter(F.size("_w") > 3).select(F.col(doc).alias("_doc"), F.explode(runs).alias("_key"))
+    asked = items.select(F.col(item).alias("_item"), F.col("text").alias("_expected")).withColumn("_w", words(F.col("_expected")))
+    few = asked.filter(F.size("_w") < 6)
+    if few.limit(most_short + 1).count() > most_short:
+        raise ValueError(f"items under six words are broadcast, {most_short} at most")
+    long = asked.filter(F.size("_w") >= 6).select("_item", F.xxhash64(F.array_join(F.slice("_w", 2, 4), " ")).alias("_key"))
+    pairs = keys.join(long, "_key").select("_doc", "_item").distinct()
+    texts = docs.select(F.col(doc).alias("_doc"), F.col("text").alias("_text"))
+    found = pairs.join(texts, "_doc").join(asked.select("_item", "_expected"), "_item")
+    short = texts.join(F.broadcast(few.select("_item", "_expected")), F.contains("_text", "_expected"))
+    both = found.filter(F.contains("_text", "_expected")).select("_doc", "_item").union(short.select("_doc", "_item"))
+    return both.select(F.col("_doc").alias(doc), F.col("_item").alias(item))

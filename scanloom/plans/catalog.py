@@ -6,26 +6,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scanloom.functions import scalar as S
-from scanloom.operators import recognise as R
 from scanloom.operators import requests as Q
+from scanloom.plans import bodies  # noqa: F401  registers its queries
+from scanloom.plans.register import ORACLE_SQL, QUERIES, query  # noqa: F401
 from scanloom.sources.tables import table
 
-QUERIES = {}
-ORACLE_SQL = {}
 PUBLIC_HOST = "therha.example.com"
 MARKS = [".", ",", "!", "?"]
 
 
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
 @query("""
 WITH d AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) p, count(*) OVER (PARTITION BY source) n FROM documents)
 SELECT source, doc_id, p, n, substr(sha256(text), 1, 16) AS fingerprint,
@@ -144,7 +133,7 @@ def threshold_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT doc_id, length(translate(text, '.,!?', '')) AS chars, substr(sha256(translate(text, '.,!?', '')), 1, 16) AS fingerprint FROM documents""")
 def punct_filter_parallel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = F.array_join(F.filter(F.split("text", ""), lambda c: ~c.isin(MARKS)), "")
+    kept = F.translate("text", "".join(MARKS), "")
     return table(spark, sf_dir, "documents").withColumn("kept", kept).select("doc_id", F.length("kept").cast("long").alias("chars"), S.fingerprint(F.col("kept")).alias("fingerprint"))
 
 
@@ -201,22 +190,6 @@ def ttl_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.ttl_hits(log, "user_id", "event_id", "t", 86400)
 
 
-@query()
-def result_cache_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = table(spark, sf_dir, "events").select(
-        (F.col("user_id") % 16).alias("shard"), F.col("event_id").alias("seq"), F.concat_ws("/", "event_type", F.col("user_id").cast("string")).alias("key"),
-        (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("started"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 + 1).alias("finished"),
-        (F.col("value") * 10_000).cast("long").alias("bytes"), (F.col("event_id") % 7 != 0).alias("cacheable"),
-    )
-    hits = Q.replay_results(log, "shard", ttl=86400)
-    return hits.groupBy("shard").agg(F.count("*").alias("requests"), F.sum(F.col("hit").cast("int")).alias("hits"))
-
-
-@query("""SELECT user_id, arg_max(event_type, event_id) AS state, count(*) AS events FROM events GROUP BY 1""")
-def inspection_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.inspection_states(table(spark, sf_dir, "events"), "user_id", "event_id", "event_type")
-
-
 @query("""SELECT event_id, round(value, 3) AS seconds, round(value / 7, 6) AS stage FROM events""")
 def stage_timing_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.round("value", 3).alias("seconds"), F.round(F.col("value") / 7, 6).alias("stage"))
@@ -248,19 +221,8 @@ def provenance_struct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "file", "n_chars", F.col("ocr.hash").alias("ocr_hash"), F.col("ocr.head").alias("head"))
 
 
-@query()
-def read_pipeline_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), "text")
-    return R.verdict(R.drop_marks(R.read_pages(pages), MARKS), 0.3)
-
-
 @query("""SELECT d.doc_id, count(*) AS found, min(b.item_id) AS first_item FROM documents d JOIN benchmark b ON contains(d.text, b.text) GROUP BY 1""")
 def compare_pipeline_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Expected passages found verbatim: joined by their first five words, then compared."""
-    words = F.split(F.trim("text"), r"\s+")
-    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 4, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 5), " ")))
-    docs = table(spark, sf_dir, "documents").withColumn("w", words)
-    keys = docs.select("doc_id", "text", F.explode(runs).alias("key"))
-    items = table(spark, sf_dir, "benchmark").withColumn("w", words).select("item_id", F.col("text").alias("expected"), F.array_join(F.slice("w", 1, 5), " ").alias("key"))
-    hits = keys.join(items, "key").filter(F.contains("text", "expected"))
+    """Expected passages found verbatim, wherever they start and whatever their length."""
+    hits = Q.containing(table(spark, sf_dir, "documents"), "doc_id", table(spark, sf_dir, "benchmark"), "item_id")
     return hits.groupBy("doc_id").agg(F.count("*").alias("found"), F.min("item_id").alias("first_item"))

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scanloom.operators.requests import inspection_step
+
 
 def event_stream(spark: SparkSession, folder: str, pattern: str = "events*.parquet") -> DataFrame:
     """events as a stream; their zone-free times become UTC instants for watermarks."""
@@ -20,19 +22,17 @@ def windowed(events: DataFrame, size: str = "1 hour", late: str = "10 minutes")
 
 
 def inspections(log: DataFrame) -> DataFrame:
-    """State of each file from a stream of (file, event): a failure is told once, then
-    forgotten, so that the next request starts again."""
+    """State of each file from a stream of (file, event), and what its requests were told: a
+    failure is told once, which clears it, so that the request after that starts again."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         now = state.get[0] if state.exists else "absent"
         told = []
         for batch in batches:
             for event in batch.event:
-                if event == "request":
-                    told.append(now)
-                    now = "running" if now in ("absent", "failed") else now
-                elif now == "running" and event in ("done", "failed"):
-                    now = event
+                now, answer = inspection_step(now, event)
+                if answer:
+                    told.append(answer[0])
         state.update((now,))
         yield pd.DataFrame({"file": [key[0]], "state": [now], "told": [",".join(told)]})
 

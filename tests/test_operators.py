@@ -3,11 +3,12 @@
 import json
 import random
 import re
-from collections import Counter, OrderedDict
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from scanloom.functions import bodies as B
 from scanloom.functions import scalar as S
 from scanloom.operators import recognise as R
 from scanloom.operators import requests as Q
@@ -76,25 +77,28 @@ def test_eviction_keeps_the_newest(spark):
     assert sorted((r["mtime"], r["key"]) for r in Q.evicted_files(files, 50, 10).collect()) == want
 
 
-def test_result_replay_against_a_loop(spark):
-    rng, rows, want, t = random.Random(5), [], {}, 0.0
-    kept, total = OrderedDict(), 0
-    for seq in range(600):
-        t += rng.random() * 12
-        key, size, ok = f"k{rng.randrange(30)}", rng.choice([10, 400_000, 5_000_000]), rng.random() < 0.9
-        rows.append((0, seq, key, t, t + 1, size, ok))
-        for k in [k for k, v in kept.items() if v[0] <= t]:
-            total -= kept.pop(k)[1]
-        want[seq] = key in kept
-        if key in kept:
-            kept.move_to_end(key)
-        elif ok and size <= Q.RESULT_BYTES:
-            kept[key] = (t + 1 + Q.RESULT_SECONDS, size)
-            total += size
-            while len(kept) > Q.RESULT_SLOTS or total > Q.RESULT_BYTES:
-                total -= kept.popitem(last=False)[1][1]
-    log = spark.createDataFrame(rows, "shard int, seq long, key string, started double, finished double, bytes long, cacheable boolean")
-    assert {r["seq"]: r["hit"] for r in Q.replay_results(log, "shard").collect()} == want
+def test_inspection_log_against_a_loop(spark):
+    """Hot files and null files pass through in small batches."""
+    rng, rows, want = random.Random(5), [], {}
+    for f in (1, 2, None, 3):
+        for seq in range(600 if f == 1 else 40):
+            rows.append((f, seq, rng.choice(["request", "request", "failed", "other"] + ["done"] * (seq > 30))))
+    for f in (1, 2, None, 3):
+        state, told = "absent", Counter()
+        for _, _, e in (r for r in rows if r[0] == f):
+            if e == "request":
+                told["running" if state == "absent" else state] += 1
+                told["starts"] += state == "absent"
+                state = {"absent": "running", "failed": "absent"}.get(state, state)
+            elif state == "running" and e in ("failed", "done"):
+                state = e
+        want[f] = (told["running"], told["failed"], told["done"], told["starts"], state)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r[0]: tuple(r)[1:] for r in Q.inspection_log(spark.createDataFrame(rows, "file long, seq long, event string"), "file", "seq", "event").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want
 
 
 def test_no_group_is_held_in_one_place(spark):
@@ -106,9 +110,6 @@ def test_no_group_is_held_in_one_place(spark):
     try:
         hits = Q.ttl_hits(log, "u", "seq", "t", 60)
         got = {r["u"]: (r["requests"], r["hits"]) for r in hits.collect()}
-        full = log.select(F.col("u").alias("shard"), "seq", F.lit("k").alias("key"), F.col("t").alias("started"), F.col("t").alias("finished"), F.lit(1).alias("bytes"), F.lit(True).alias("cacheable"))
-        replay = Q.replay_results(full, "shard", ttl=60)
-        seen = Counter((r["shard"], r["hit"]) for r in replay.collect())
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     for u in (0, 1, 2, None):
@@ -119,9 +120,9 @@ def test_no_group_is_held_in_one_place(spark):
                 want += 1
             else:
                 expires = t + 60
-        assert got[u] == (n, want) == (seen[u, True] + seen[u, False], seen[u, True])
+        assert got[u] == (n, want)
     plan = lambda df: df._jdf.queryExecution().toString()
-    assert "collect_list" not in plan(hits) and "FlatMapGroupsInPandas" not in plan(replay)
+    assert "collect_list" not in plan(hits)
 
 
 def test_even_sample_ranks_without_the_other_columns(spark):
@@ -147,10 +148,65 @@ def test_bodies_and_layouts(spark, tmp_path):
     assert [r["file"] for r in tables.layouts(spark, str(tmp_path)).collect()] == ["a"]
 
 
-def test_recognition_plumbing(spark):
-    pages = spark.createDataFrame([(1, "a,b" * 30), (2, ""), (3, None)], "page_id long, text string")
-    lines = R.drop_marks(R.read_pages(pages), [","])
-    assert {r["page_id"]: r["chars"] for r in R.verdict(lines, 0.5).collect()} == {1: 60}
+def test_scans_and_stored_layouts(spark, tmp_path):
+    (tmp_path / "img").mkdir()
+    for name in ("a.jpg", "b.png", "c.JPG", "d.png.part"):
+        (tmp_path / "img" / name).write_bytes(b"x")
+    assert sorted(r["path"][-5:] for r in tables.scans(spark, str(tmp_path / "img")).collect()) == ["a.jpg", "b.png"]
+    rows = spark.createDataFrame([("f", [0.5], 1.5), ("g", [], None)], "file string, tiers array<double>, ratio double")
+    for _ in range(2):
+        tables.save_layouts(rows, str(tmp_path / "layouts"))
+    got = tables.layouts(spark, str(tmp_path / "layouts")).orderBy("file").collect()
+    assert [(r["file"], r["tiers"], r["ratio"], r["ver"]) for r in got] == [("f", [0.5], 1.5, 5), ("g", [], None, 5)]
+
+
+def test_pages_keep_their_rows_when_empty(spark):
+    rows = [(1, [None, (["a", ",", "b"], [0.1, 0.2, 0.9], [[0], [1], [2]])], True), (2, [None], False), (3, None, True), (4, [([","], [0.5], [[0]])], True)]
+    df = spark.createDataFrame(rows, "p int, lines array<struct<ch: array<string>, conf: array<double>, box: array<array<int>>>>, geometry boolean")
+    kept = df.withColumn("lines", R.kept_lines(F.col("lines"), [","]))
+    assert kept.filter("p = 1").select(F.to_json("lines").alias("x")).first()["x"] == '[{"ch":["a","b"],"conf":[0.1,0.9],"box":[[0],[2]]}]'
+    none = F.array().cast("array<string>")
+    got = {r["p"]: r["v"] for r in kept.select("p", R.verdict(F.col("lines"), F.lit(0.5), F.lit("good"), none, F.col("geometry")).alias("v")).collect()}
+    assert (got[1]["grade"], got[1]["text"], got[1]["marked_share"], got[1]["chars"]) == ("good", "ab", 0.5, 2)
+    assert (got[2]["grade"], got[2]["reasons"], got[2]["chars"], got[2]["boxes"], got[2]["marked_share"]) == (R.UNUSABLE, [R.NOTHING_READ], None, 0, 0.0)
+    assert got[3]["grade"] == got[4]["grade"] == "good" and got[3]["text"] == got[4]["text"] == ""
+
+
+@pytest.mark.parametrize(("boxes", "want"), [
+    ("[]", (0, None, None)), ("7", (None, None, "boxes")), ("[[0,0,1,1]]", (1, None, None)), ("[[0,0,1,1],[0,0,1]]", (None, 1, "shape")), ("[5]", (None, 0, "shape")),
+    ('[["0",0,1,1]]', (None, 0, "coordinate")), ("[[0.0,0,1e0,1]]", (1, None, None)), ("[[0.5,0,1,1]]", (None, 0, "coordinate")), ("[[1,0,1,1]]", (None, 0, "order")), ("[[-1,0,1,1]]", (None, 0, "order")),
+    ("[[0,0,1016,1016]]", (1, None, None)), ("[[0,0,1017,1016]]", (None, 0, "limit")), ("[" + ",".join(["[0,0,1016,1016]"] * 16) + "]", (16, None, None)), ("[" + ",".join(["[0,0,1016,1016]"] * 17) + "]", (None, 16, "limit")),
+    ("[" + ",".join(["[0,0,1,1]"] * 20_000) + "]", (20_000, None, None)), ("[" + ",".join(["[0,0,1,1]"] * 20_001) + "]", (None, None, "count")),
+])
+def test_box_lists(spark, boxes, want):
+    df = spark.createDataFrame([(boxes,)], "x string").select(F.parse_json("x").alias("x"))
+    r = B.box_list(df, "x").first()
+    assert (None if r["boxes"] is None else len(r["boxes"]), r["bad_pos"], r["error"]) == want
+
+
+@pytest.mark.parametrize(("proto", "host", "want"), [
+    ("http", "[::1]:8080", "http://[::1]:8080/"), ("http", "localhost:99999", None), ("http", "localhost:65535", "http://localhost:65535/"), ("http", "localhost:", None), ("http", "localhost:x", None),
+    ("http", "Pub.Example", "https://pub.example/"), ("http", "pub.example:443", "https://pub.example:443/"), ("http", "pub.example:0443", "https://pub.example:0443/"), ("https", "pub.example:80", None),
+    ("ftp", "localhost", None), ("http", "a@localhost", None), ("http", "localhost/", None), ("http", "localhost\n", None), ("http", "[::2]", None), ("http", "", None), ("http", "::1", None), ("HTTP", "localhost", None),
+])
+def test_base_address(spark, proto, host, want):
+    host = host.replace("\\n", "\n")
+    row = spark.createDataFrame([(proto, host)], "p string, h string")
+    assert row.select(S.base_address(F.col("p"), F.col("h"), "pub.example").alias("x")).first()["x"] == want
+
+
+def test_containing_finds_short_items_and_those_inside_words(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choices("abc", k=rng.randint(1, 3)))
+    docs = [(i, rng.choice(["", "  ", "(", "x"]) + rng.choice([" ", "\t", "  "]).join(word() for _ in range(rng.randint(0, 40)))) for i in range(80)] + [(99, None)]
+    items = []
+    for k in range(60):
+        text = rng.choice(docs[:80])[1]
+        a = rng.randint(0, len(text))
+        items.append((k, text[a : a + rng.randint(1, 60)] or "zz"))
+    d, b = spark.createDataFrame(docs, "doc long, text string"), spark.createDataFrame([*items, (90, None)], "item long, text string")
+    got = sorted((r["doc"], r["item"]) for r in Q.containing(d, "doc", b, "item").collect())
+    assert got == sorted((i, k) for i, t in docs if t is not None for k, x in items if x in t)
 
 
 def test_streams_match_batches(spark, tmp_path):
@@ -168,4 +224,4 @@ def test_streams_match_batches(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     r = spark.sql("select * from insp").first()
-    assert (r["state"], r["told"]) == ("done", "absent,failed,running")
+    assert (r["state"], r["told"]) == ("done", "running,failed,running")
