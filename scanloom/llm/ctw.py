@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from scanloom.llm import textbuf as tb
 from scanloom.llm.lineage import cut
 
-DEPTH = 5
+DEPTH = 6
 PAIRS = 600_000
 #: Bytes of context at the roots of the subtrees, and the runs weighed at a time.
 ROOT = 2
@@ -46,7 +46,7 @@ WORDS = 1 << 18
 END = 255
 FLUSH = 1 << 21
 COUNTED = "kind int, key long, n long"
-SCORED = "row long, doc_id long, n_tokens long, n_known long, base_sum double, score_sum double, rare array<long>, times array<int>, deep array<long>, deep_times array<int>"
+SCORED = "row long, doc_id long, n_bytes long, n_tokens long, n_known long, base_sum double, score_sum double, rare array<long>, times array<int>, deep array<long>, deep_times array<int>"
 ROOTS = "key long, zeros double, ones double, weighted double"
 MODEL = "key long, n long, log float"
 U = np.uint64
@@ -501,13 +501,13 @@ def score(docs: DataFrame, training, depth: int = DEPTH, pairs: int = PAIRS, wor
                 deep = tallied(byte_runs[far], np.repeat(np.arange(m), np.diff(o) + 1)[far], m)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(row + np.arange(m)), batch.column(0).slice(lo, m), pa.array(np.diff(at) + 1),
+                        pa.array(row + np.arange(m)), batch.column(0).slice(lo, m), pa.array(np.diff(o)), pa.array(np.diff(at) + 1),
                         pa.array(np.bincount(text, c > 0, m).astype(np.int64) + int(ends > 0)),
                         pa.array(np.bincount(text, np.log10(c + 1), m) + math.log10(ends + 1)),
                         pa.array(np.add.reduceat(np.where(far, 0, logs).astype(np.float64), o[:-1] + np.arange(m))),
                         *rare, *deep,
                     ],
-                    ["row", "doc_id", "n_tokens", "n_known", "base_sum", "score_sum", "rare", "times", "deep", "deep_times"],
+                    ["row", "doc_id", "n_bytes", "n_tokens", "n_known", "base_sum", "score_sum", "rare", "times", "deep", "deep_times"],
                 )
                 row += m
 
@@ -523,4 +523,6 @@ def score(docs: DataFrame, training, depth: int = DEPTH, pairs: int = PAIRS, wor
         "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("found", F.lit(0))).cast("long").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
         (F.col("base_sum") + F.coalesce("logs", F.lit(0.0)) - F.col("n_tokens") * math.log10(n_all + n_distinct + 1)).alias("base_score"),
         (F.col("score_sum") + F.coalesce("deep_sum", F.lit(0.0))).alias("score"),
+        # The end of a text counts as a byte.
+        (-(F.col("score_sum") + F.coalesce("deep_sum", F.lit(0.0))) / (math.log10(2) * (F.col("n_bytes") + 1))).alias("bits_per_byte"),
     )

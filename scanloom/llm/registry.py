@@ -53,7 +53,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = ctw.score(table(spark, sf_dir, "documents"), remainder(7) != 2)
     held = F.coalesce(remainder(7) == 2, F.lit(False)).alias("held_out")
-    return scored.select("doc_id", held, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scored.select("doc_id", held, "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
