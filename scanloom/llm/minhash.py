@@ -206,8 +206,10 @@ def similar(families: DataFrame, docs: DataFrame, percent: int = PERCENT, block_
     number = lambda n: F.ceil(n / block_shingles).cast("int")
     block = lambda m: F.pmod(F.xxhash64("doc_id"), m).cast("int")
     every = lambda m: F.sequence(F.lit(0), m - 1)
-    total = families.groupBy("family").agg(F.sum("size").alias("total"))
-    dealt = families.join(total, "family").withColumn("blocks", number(F.col("total")))
+    # Few families are that large; written, so that a join by family has rows alone on
+    # either side and Spark can split it.
+    total = cut(families.groupBy("family").agg(F.sum("size").alias("total")).filter(F.col("total") > block_shingles), "family-sizes")
+    dealt = families.join(total, "family", "left").withColumn("blocks", F.coalesce(number(F.col("total")), F.lit(1)))
     large = dealt.filter("blocks > 1")
     pivots = large.groupBy("family", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(PIVOTS)).alias("k")).agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.lit(True).alias("pivot"))
     own = F.when(F.col("pivot"), every(F.col("blocks"))).otherwise(F.array(block(F.col("blocks"))))
@@ -281,8 +283,9 @@ def near_duplicates(docs: DataFrame, coords: int = COORDS, matches: int = MATCHE
     tied = cut(reps.select("rep", "size").join(first, F.col("rep") == first["node"], "left").select("rep", "size", F.coalesce("component", "rep").alias("family")), "tied")
     more = components(joined_families(postings.join(tied.select("rep", "family"), "rep"), reps, matches, block_docs))
     families = tied.join(more, F.col("family") == more["node"], "left").select(F.col("rep").alias("doc_id"), F.coalesce("component", "family").alias("family"), "size")
-    families = families.join(families.groupBy("family").agg(F.count("*").alias("n")).filter("n > 1").select("family"), "family")
-    final = similar(cut(families, "families"), docs, percent, block_shingles)
+    families = cut(families, "families")
+    several = cut(families.groupBy("family").agg(F.count("*").alias("n")).filter("n > 1").select("family"), "several")
+    final = similar(cut(families.join(several, "family"), "members"), docs, percent, block_shingles)
 
     named = reps.select("d1", "d2", "rep").join(final, F.col("rep") == final["node"], "left").select("d1", "d2", F.coalesce("component", "rep").alias("group_id"))
     out = signed.join(named, ["d1", "d2"], "left")
