@@ -18,9 +18,10 @@ Three steps keep the work in proportion and each task's share bounded:
    LENGTH bytes, intervals of more than one suffix are the repeated windows.  Symbols are
    eight bytes wide (a text is then eight strings, by offset), so 25 passes do.
 
-An anchor with more than ``HOT`` kinds of stretches would be one task's; its windows are
-counted by hash over all tasks instead.  Hashes of anchors, stretches and hot windows
-have 64 bits.
+An anchor with more than ``HOT`` kinds of stretches or ``HOT_BYTES`` of them would be one
+task's; its windows are counted by hash over all tasks instead.  Stretches are taken as
+equal if their anchors, hashes and lengths agree (two hashes of 64 bits), hot windows if
+the anchor and a hash of 64 bits do.
 
 Cases: null and empty texts and those under LENGTH bytes lose nothing; a text's own
 repeats count, overlapping ones too; rows equal in doc_id and text are copies of each
@@ -40,17 +41,18 @@ from pyspark.sql import functions as F
 from scanloom.llm import textbuf as tb
 from scanloom.llm.chunks import least_ahead
 from scanloom.llm.lineage import cut, drop
-from scanloom.llm.spans import keyed, merged, remove, remove_text
+from scanloom.llm.spans import KEYS, keyed, merged, remove, remove_text
 
 LENGTH = 200
 GRAM = 80
 #: Windows in a stretch at most; a longer one (periodic text) is cut, windows stay whole.
 STRETCH = 4096
 HOT = 20_000
+HOT_BYTES = 1 << 23
 SHARD_BYTES = 1 << 14
 MERGE_BYTES = 1 << 16
 SYMBOL = 8
-STRETCHES = "anchor long, whole long, key long, at long"
+STRETCHES = "anchor long, whole long, kid long, kh long, at long"
 
 
 def _sums(buf: np.ndarray) -> np.ndarray:
@@ -119,9 +121,9 @@ def find_stretches(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
             for lo, hi in tb.groups(offs, 1 << 20):
                 text, anchor, whole, first, count, inner = _of_texts(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], length, gram)
                 at = (first << 20) | (count << 1) | inner
-                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64)), batch.column(1).take(pa.array(lo + text)), pa.array(at)], ["anchor", "whole", "key", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64)), *(batch.column(i).take(pa.array(lo + text)) for i in (1, 2)), pa.array(at)], ["anchor", "whole", *KEYS, "at"])
 
-    return docs.select("text", "key").mapInArrow(run, STRETCHES)
+    return docs.select("text", *KEYS).mapInArrow(run, STRETCHES)
 
 
 class Shard:
@@ -224,74 +226,99 @@ def _spans(starts: np.ndarray, length: int) -> list[int]:
     return np.stack([s, e], 1).reshape(-1).tolist()
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """key and ``at`` (starts and ends in turn) of the repeated bytes of keyed docs."""
+#: Equal stretches agree in these.
+KIND = ["anchor", "whole", "windows"]
+
+
+def judged(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """(anchor, whole, windows, rel): starts and ends of the repeats in stretches (anchor,
+    whole, windows, known, part) sorted by anchor, but for those known to repeat as a whole.
+    Anchors are merged one after another, about MERGE_BYTES at a time."""
+
+    def judge(table: pa.Table) -> pa.RecordBatch:
+        anchor, whole, windows, known = (tb.column(table, c).to_numpy() for c in (*KIND, "known"))
+        strings = [np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("part")]
+        got = repeated_windows(strings, length)
+        at = [i for i, x in enumerate(got) if len(x) and not known[i]]
+        return pa.RecordBatch.from_arrays([*(pa.array(c[at]) for c in (anchor, whole, windows)), pa.array([_spans(got[i], length) for i in at], pa.list_(pa.int32()))], [*KIND, "rel"])
+
+    held, size, wait = [], 0, MERGE_BYTES
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += tb.column(batch, "part").nbytes
+        if size >= wait:
+            table = pa.Table.from_batches(held)
+            anchor = tb.column(table, "anchor").to_numpy()
+            lo, ends = 0, np.cumsum([len(x.as_buffer()) for x in table.column("part")])
+            last = int(np.searchsorted(anchor, anchor[-1]))
+            while lo < last:  # all stretches of an anchor are in one merge
+                hi = int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + MERGE_BYTES)) + 1
+                hi = min(last, int(np.searchsorted(anchor, anchor[min(hi, last) - 1], side="right")))
+                yield judge(table.slice(lo, hi - lo))
+                lo = hi
+            held = table.slice(last).to_batches()
+            size = int(ends[-1] - (ends[last - 1] if last else 0))
+            wait = max(MERGE_BYTES, 2 * size)
+    if held:
+        table = pa.Table.from_batches(held)
+        yield judge(table)
+
+
+def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, hot_bytes: int = HOT_BYTES) -> DataFrame:
+    """KEYS and ``at`` (starts and ends in turn) of the repeated bytes of keyed docs."""
     if length % SYMBOL or not SYMBOL < gram < length:
         raise ValueError(f"length must be a multiple of {SYMBOL} and gram shorter")
     every = cut(find_stretches(docs, length, gram), "stretches")
     inner = F.col("at").bitwiseAND(1)
+    windows = F.shiftright(F.col("at").bitwiseAND(0xFFFFF), 1).cast("int")
     several = every.groupBy("anchor").agg(F.count("*").alias("n"), F.max(inner).alias("inner")).filter("n > 1 or inner = 1").select("anchor")
-    found = cut(every.join(several, "anchor", "left_semi"), "repeated-anchors")
+    found = cut(every.join(several, "anchor", "left_semi").withColumn("windows", windows), "repeated-anchors")
     drop(every)
-    kinds = found.groupBy("whole").agg(F.count("*").alias("n"), F.first("anchor").alias("anchor"), F.max(inner).alias("inner"), F.min(F.struct("key", "at")).alias("one"))
+    kinds = found.groupBy(*KIND).agg(F.count("*").alias("n"), F.max(inner).alias("inner"), F.min(F.struct(*KEYS, "at")).alias("one"))
     kinds = cut(kinds, "kinds")
-    per = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.max("inner").alias("any_inner")).filter("kinds > 1 or any_inner = 1").select("anchor", "kinds")
-    ends = kinds.join(per, "anchor").select("anchor", "whole", "kinds", (F.col("n") > 1).alias("known"), F.col("one.key").alias("key"), F.col("one.at").alias("at"))
-    wanted = ends.groupBy("key").agg(F.collect_list(F.struct("anchor", "whole", "kinds", "known", "at")).alias("wanted"))
-    one_each = docs.select("key", "text").join(wanted, "key").dropDuplicates(["key"])
-    fetched = "anchor long, whole long, kinds long, known boolean, part binary"
+    # Written, so that a join by a frequent anchor has nothing but rows on either side and
+    # Spark can split it.
+    per = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum(F.col("windows") + (length - 1)).alias("bytes"), F.max("inner").alias("any_inner")).filter("kinds > 1 or any_inner = 1")
+    per = cut(per.select("anchor", ((F.col("kinds") > hot) | (F.col("bytes") > hot_bytes)).alias("hot")), "anchors")
+    ends = kinds.join(per, "anchor").select(*KIND, "hot", (F.col("n") > 1).alias("known"), *(F.col(f"one.{c}").alias(c) for c in (*KEYS, "at")))
+    wanted = ends.groupBy(*KEYS).agg(F.collect_list(F.struct(*KIND, "hot", "known", "at")).alias("wanted"))
+    one_each = docs.select(*KEYS, "text").join(wanted, KEYS).dropDuplicates(KEYS)
+    fetched = "anchor long, whole long, windows int, hot boolean, known boolean, part binary"
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in fetched.split(", ")]
         for batch in batches:
             buf, offs = tb.buffer(batch.column(0))
             lists = batch.column(1)
             for i in range(batch.num_rows):
                 text = buf[offs[i] : offs[i + 1]]
                 w = lists[i].values
-                at = w.field("at").to_numpy()
-                first, count = at >> 20, (at & 0xFFFFF) >> 1
+                first, count = w.field("at").to_numpy() >> 20, w.field("windows").to_numpy()
                 parts = [text[a : a + n + length - 1].tobytes() for a, n in zip(first.tolist(), count.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*(w.field(x) for x in ("anchor", "whole", "kinds", "known")), pa.array(parts, pa.binary())], [x.split()[0] for x in fetched.split(", ")])
+                yield pa.RecordBatch.from_arrays([*(w.field(x) for x in names[:-1]), pa.array(parts, pa.binary())], names)
 
     parts = cut(one_each.select("text", "wanted").mapInArrow(fetch, fetched), "ends")
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-        if table is None or not table.num_rows:
-            return
-        table = table.sort_by("anchor")
-        anchor, whole, known = (table.column(c).to_numpy() for c in ("anchor", "whole", "known"))
-        strings = [np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("part")]
-        size = np.cumsum([len(s) for s in strings])
-        lo = 0
-        while lo < len(strings):  # all stretches of an anchor are in one merge
-            hi = int(np.searchsorted(size, size[lo] + MERGE_BYTES))
-            hi = max(hi, lo + 1)
-            hi = int(np.searchsorted(anchor, anchor[hi - 1], side="right"))
-            got = repeated_windows(strings[lo:hi], length)
-            rows = [(int(whole[lo + i]), _spans(x, length)) for i, x in enumerate(got) if len(x) and not known[lo + i]]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int32()))], ["whole", "rel"])
-            lo = hi
-
-    rel = "whole long, rel array<int>"
-    cold = parts.filter(F.col("kinds") <= hot).repartition("anchor").select("anchor", "whole", "known", "part").mapInArrow(judge, rel)
+    rel = "anchor long, whole long, windows int, rel array<int>"
+    cold = parts.filter("not hot").select(*KIND, "known", "part").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda batches: judged(batches, length), rel)
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for w, p in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for i, p in enumerate(tb.column(batch, "part")):
                 h = grams(np.frombuffer(p.as_buffer(), np.uint8), length)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), w)), pa.array(np.arange(len(h), dtype=np.int32))], ["h", "whole", "start"])
+                same = [batch.column(k).take(pa.array(np.full(len(h), i))) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *same, pa.array(np.arange(len(h), dtype=np.int32))], ["h", *KIND, "start"])
 
-    each = parts.filter(F.col("kinds") > hot).select("whole", "part").mapInArrow(explode, "h long, whole long, start int")
-    twice = each.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    warm = each.join(twice, "h").groupBy("whole").agg(F.flatten(F.collect_list(F.array("start", F.col("start") + length))).alias("rel"))
+    each = parts.filter("hot").select(*KIND, "part").mapInArrow(explode, "h long, anchor long, whole long, windows int, start int")
+    twice = each.groupBy("anchor", "h").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", "h")
+    warm = each.join(twice, ["anchor", "h"]).groupBy(*KIND).agg(F.flatten(F.collect_list(F.array("start", F.col("start") + length))).alias("rel"))
 
     first = F.shiftright(F.col("at"), 20).cast("int")
-    count = F.shiftright(F.col("at").bitwiseAND(0xFFFFF), 1).cast("int")
-    full = kinds.filter("n > 1").select("whole", F.lit(None).cast("array<int>").alias("rel"))
+    full = kinds.filter("n > 1").select(*KIND, F.lit(None).cast("array<int>").alias("rel"))
     marks = full.unionByName(cold).unionByName(warm)
-    spans = F.coalesce(F.transform("rel", lambda x: x + first), F.array(first, first + count + (length - 1)))
-    return found.join(marks, "whole").select("key", spans.alias("at")).groupBy("key").agg(F.flatten(F.collect_list("at")).alias("at"))
+    spans = F.coalesce(F.transform("rel", lambda x: x + first), F.array(first, first + F.col("windows") + (length - 1)))
+    return found.join(marks, KIND).select(*KEYS, spans.alias("at")).groupBy(*KEYS).agg(F.flatten(F.collect_list("at")).alias("at"))
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:

@@ -25,12 +25,12 @@ from pyspark.sql import functions as F
 
 from scanloom.llm import textbuf as tb
 from scanloom.llm.lineage import cut, drop
-from scanloom.llm.spans import keyed, remove, remove_text
+from scanloom.llm.spans import KEYS, keyed, remove, remove_text
 
 REACH = 28
 LEAST = 96
 LONGEST = 1024
-SEEN = "d1 long, d2 long, doc_id long, key long, start int, length int"
+SEEN = "d1 long, d2 long, kid long, kh long, start int, length int"
 #: Bytes that a 32-bit gear hash spans: older ones have been shifted out.
 GEAR_SPAN = 32
 
@@ -89,8 +89,8 @@ def seen_chunks(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buf, offs = tb.buffer(batch.column(1))
-            ids, keys = batch.column(0), batch.column(2)
+            buf, offs = tb.buffer(batch.column(0))
+            ids, hashes = batch.column(1), batch.column(2)
             for lo, hi in tb.groups(offs, 1 << 21):
                 part, o = buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
                 s, e = chunk_spans(part, o)
@@ -99,20 +99,20 @@ def seen_chunks(docs: DataFrame) -> DataFrame:
                 text = np.searchsorted(o, s, side="right") - 1
                 at = pa.array(lo + text)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(d[:, 0]), pa.array(d[:, 1]), ids.take(at), keys.take(at), pa.array((s - o[text]).astype(np.int32)), pa.array((e - s).astype(np.int32))],
-                    ["d1", "d2", "doc_id", "key", "start", "length"],
+                    [pa.array(d[:, 0]), pa.array(d[:, 1]), ids.take(at), hashes.take(at), pa.array((s - o[text]).astype(np.int32)), pa.array((e - s).astype(np.int32))],
+                    ["d1", "d2", *KEYS, "start", "length"],
                 )
 
-    return docs.select("doc_id", "text", "key").mapInArrow(run, SEEN)
+    return docs.select("text", *KEYS).mapInArrow(run, SEEN)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """key and ``at`` (starts and ends in turn) of the later ones of equal chunks."""
+    """KEYS and ``at`` (starts and ends in turn) of the later ones of equal chunks."""
     seen = cut(seen_chunks(docs), "chunks")
-    where = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))), "key", "start")
+    where = F.struct(*KEYS, "start")
     often = seen.groupBy("d1", "d2").agg(F.min(where).alias("first"), F.count("*").alias("n")).filter("n > 1").select("d1", "d2", "first")
     extra = seen.join(often, ["d1", "d2"]).filter(where != F.col("first"))
-    spans = cut(extra.groupBy("key").agg(F.flatten(F.collect_list(F.array("start", F.col("start") + F.col("length")))).alias("at")), "chunk-spans")
+    spans = cut(extra.groupBy(*KEYS).agg(F.flatten(F.collect_list(F.array("start", F.col("start") + F.col("length")))).alias("at")), "chunk-spans")
     drop(seen)
     return spans
 

@@ -15,14 +15,18 @@ from scanloom.llm import textbuf as tb
 CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
+#: Columns that tell rows apart: doc_id (null: the least number) and a hash of the text.
+KEYS = ["kid", "kh"]
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text (null: empty) and a key that equal rows share."""
+    """doc_id, text (null: empty) and the KEYS, which equal rows share."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return docs.withColumn("key", row_key())
+    return docs.withColumns(row_keys(*KEYS))
 
 
-def row_key():
-    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
+def row_keys(kid: str, kh: str) -> dict:
+    return {kid: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), kh: F.xxhash64(F.coalesce("text", F.lit("")))}
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,7 +54,7 @@ def _cut(text: np.ndarray, lists: pa.ListScalar, least: int) -> tuple[bytes, int
 def remove(docs: DataFrame, spans: DataFrame, least: int = 1) -> DataFrame:
     """Counts and the SHA-256 of each row of keyed docs without the bytes of its spans.
 
-    spans has key and ``at``, an array of starts and ends in turn; touching spans count
+    spans has the KEYS and ``at``, an array of starts and ends in turn; touching spans count
     as one, and one under ``least`` bytes stays unless it is the whole text.
     """
 
@@ -65,7 +69,7 @@ def remove(docs: DataFrame, spans: DataFrame, least: int = 1) -> DataFrame:
             n = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in n[:3]), pa.array(n[3], pa.string())], [x.split()[0] for x in CUT.split(", ")])
 
-    return docs.join(spans, "key", "left").select("doc_id", "text", "at").mapInArrow(run, CUT)
+    return docs.join(spans, KEYS, "left").select("doc_id", "text", "at").mapInArrow(run, CUT)
 
 
 def remove_text(docs: DataFrame, spans: DataFrame, least: int = 1) -> DataFrame:
@@ -81,5 +85,6 @@ def remove_text(docs: DataFrame, spans: DataFrame, least: int = 1) -> DataFrame:
             texts = [_cut(buf[offs[i] : offs[i + 1]], lists[i], least)[0].decode("utf-8", "ignore") if lists[i].is_valid else batch.column(at)[i].as_py() for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if j == at else batch.column(j) for j in range(len(names))], names)
 
-    joined = docs.withColumn("_scanloom_key", row_key()).join(spans.select(F.col("key").alias("_scanloom_key"), F.col("at").alias("_scanloom_at")), "_scanloom_key", "left")
+    own = ["_scanloom_kid", "_scanloom_kh"]
+    joined = docs.withColumns(row_keys(*own)).join(spans.select(*(F.col(k).alias(o) for k, o in zip(KEYS, own, strict=True)), F.col("at").alias("_scanloom_at")), own, "left")
     return joined.select(*names, "_scanloom_at").mapInArrow(run, docs.schema)

@@ -458,6 +458,81 @@ def test_merge_against_brute_force():
         assert [x.tolist() for x in bwt.repeated_windows(strings, 16, rng.choice([30, 100, 1000]))] == want
 
 
+def test_merges_stream_over_anchors(monkeypatch):
+    """Batches of a few rows, merges of a few bytes: each anchor is judged as a whole."""
+    rng, rows = random.Random(6), []
+    for anchor in range(12):
+        base = bytes(rng.choices(b"abcd", k=60))
+        for k in range(rng.choice([1, 2, 9])):
+            s = base[rng.randint(0, 9) :] + bytes(rng.choices(b"xyz", k=rng.randint(0, 9)))
+            rows.append((anchor, k, len(s) - 15, k % 4 == 3, s))
+    schema = pa.schema([("anchor", pa.int64()), ("whole", pa.int64()), ("windows", pa.int32()), ("known", pa.bool_()), ("part", pa.binary())])
+    want = {}
+    for anchor in range(12):
+        mine = [r for r in rows if r[0] == anchor]
+        for r, at in zip(mine, bwt.repeated_windows([np.frombuffer(r[4], np.uint8) for r in mine], 16), strict=True):
+            if len(at) and not r[3]:
+                want[r[:3]] = bwt._spans(at, 16)
+    for merge_bytes in (1, 150, 1 << 16):
+        monkeypatch.setattr(bwt, "MERGE_BYTES", merge_bytes)
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows[i : i + 4], strict=True), schema, strict=True)], schema=schema) for i in range(0, len(rows), 4)]
+        got = [r for b in bwt.judged(iter(batches), 16) for r in b.to_pylist()]
+        assert {(r["anchor"], r["whole"], r["windows"]): r["rel"] for r in got} == want and len(got) == len(want)
+
+
+def chunks_by_brute_force(text):
+    """Cuts of a text where the gear hash is the least within reach to either side."""
+    h, g = [], chunks.gear_table().tolist()
+    for b in text:
+        h.append((2 * (h[-1] if h else 0) + g[b]) % 2**32)
+    h = [2**33 if i < 31 else x for i, x in enumerate(h)]
+    ends, r = [], chunks.REACH
+    for i in range(len(text) - 1):
+        if h[i] < 2**33 and all(h[i] < x for x in h[max(0, i - r) : i]) and all(h[i] <= x for x in h[i + 1 : i + r + 1]):
+            ends.append(i + 1)
+    ends.append(len(text))
+    out, start = [], 0
+    for e in ends:
+        while start < e:
+            out.append((start, min(start + chunks.LONGEST, e)))
+            start = out[-1][1]
+    return out
+
+
+@pytest.mark.parametrize("least", [1, chunks.LEAST])
+def test_chunks_against_brute_force(spark, docs, rows, least):
+    extra = [(500, None), (501, rows[0][1]), (501, rows[0][1]), (None, rows[3][1]), (None, "x" * 5000)]
+    every = [(r[0], r[1]) for r in rows] + extra
+    df = spark.createDataFrame(every, "doc_id long, text string").repartition(3)
+    # Rows equal in doc_id and text are one document.
+    order = sorted({(-(2**63) if i is None else i, t or "") for i, t in every})
+    key = lambda i, t: F.xxhash64(F.lit(t))
+    hashes = {t: spark.range(1).select(key(0, t).alias("h")).first()["h"] for t in {t for _, t in order}} if least == 1 else None
+    if hashes:
+        order.sort(key=lambda x: (x[0], hashes[x[1]]))
+    seen, want = set(), {}
+    for i, t in order:
+        raw = t.encode()
+        spans = []
+        for a, b in chunks_by_brute_force(raw):
+            if raw[a:b] in seen:
+                if spans and spans[-1][1] == a:
+                    spans[-1][1] = b
+                else:
+                    spans.append([a, b])
+            seen.add(raw[a:b])
+        spans = [s for s in spans if s[1] - s[0] >= least or s[1] - s[0] == len(raw)]
+        kept = b"".join(raw[a:b] for a, b in zip([0, *(s[1] for s in spans)], [*(s[0] for s in spans), len(raw)], strict=True))
+        want[i, len(raw), hashlib.sha256(raw).hexdigest()] = (sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept).hexdigest())
+    got = chunks.dedup(df, least).collect()
+    assert len(got) == len(every)
+    found = collections.Counter((-(2**63) if r["doc_id"] is None else r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got)
+    if least == 1:
+        assert set(found) == {(i, n, *w) for (i, n, _), w in want.items()}
+    else:
+        assert {x for x in found if x[0] >= 0} == {(i, n, *w) for (i, n, _), w in want.items() if i >= 0}
+
+
 def test_sharding(spark, docs, rows, tmp_path):
     got = sharding.shard(docs).collect()
     by = collections.defaultdict(list)
@@ -511,5 +586,9 @@ def test_pipeline_keeps_and_drops(spark, tmp_path):
     texts = {r["doc_id"]: r["text"] for r in now.collect()}
     assert set(texts) == {i for i in range(200) if i % 4} | {300, 303, 304, 305}
     assert passage not in texts[303] + texts[304] and texts[300] == copy and texts[305] is None
+    odd = [(7, copy), (7, make(rng, 50)), (None, leak + " " + make(rng, 9)), (None, copy), (None, None), (None, None), (8, "same words in five or more"), (8, "same words in five or more"), (9, copy)]
+    few = spark.createDataFrame(odd, "doc_id long, text string")
+    left = corpus_pipeline.drop_leaks(spark, corpus_pipeline.drop_near_copies(spark, few, str(tmp_path)), str(tmp_path)).collect()
+    assert sorted(left, key=repr) == sorted(((7, odd[1][1]), (None, None), (None, None), (8, odd[6][1]), (9, copy)), key=repr)
     out = {r["doc_id"]: r["decoded_sha256"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert out == {i: hashlib.sha256((t or "").encode()).hexdigest() for i, t in texts.items()}
