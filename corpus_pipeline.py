@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanloom.llm import bpe, bwt, decontaminate, minhash, registry, toxicity
-from scanloom.llm.lineage import cut
+from scanloom.llm.lineage import cut, drop
 
 #: No stage is expressible in SQL; tests hold run() against brute force.
 ORACLE_SQL = None
@@ -25,12 +25,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays; rows that repeat a doc_id go too."""
-    extra = minhash.near_duplicates(docs).filter("not kept").select("doc_id").distinct()
-    rest = docs.join(extra, "doc_id", "left_anti").select(docs.columns)
-    twice = rest.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").select("doc_id")
-    once = rest.join(twice, "doc_id", "left_anti").select(docs.columns)
-    return once.union(rest.join(twice, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+    """One document of each near-duplicate group stays, that of the least doc_id.
+
+    Rows with a null doc_id and rows that share one count as documents of their own, known by
+    a hash of doc_id and text instead; of those equal in both one stays, if it has words.
+    """
+    odd = cut(docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").select(F.col("doc_id").alias("_odd_id"), F.lit(True).alias("_odd")), "odd-ids")
+    if odd.isEmpty():
+        extra = minhash.near_duplicates(docs).filter("not kept").select("doc_id")
+        return docs.join(extra, "doc_id", "left_anti").select(docs.columns)
+    known = docs.join(odd, docs["doc_id"].eqNullSafe(F.col("_odd_id")), "left")
+    # Above all usual ids, so that those are kept rather.
+    by_text = F.xxhash64("doc_id", "text").bitwiseAND((1 << 62) - 1) + (1 << 62)
+    known = cut(known.withColumn("_id", F.when(F.col("_odd"), by_text).otherwise(F.col("doc_id"))), "known")
+    extra = minhash.near_duplicates(known.select(F.col("_id").alias("doc_id"), "text")).filter("not kept").select(F.col("doc_id").alias("_id")).distinct()
+    rest = known.join(extra, "_id", "left_anti")
+    repeated = F.coalesce(F.col("_odd") & F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    return rest.filter(~repeated).select(docs.columns).union(rest.filter(repeated).dropDuplicates(["_id"]).select(docs.columns))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +51,11 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of the benchmark go."""
-    leaks = decontaminate.find_leaks(docs, registry.table(spark, sf_dir, "benchmark"))
-    return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """Documents that hold a passage of the benchmark go; a text is known by its hash, so
+    that rows with null or shared ids are judged by their own texts."""
+    texts = docs.select(F.xxhash64("text").alias("doc_id"), "text")
+    leaks = decontaminate.find_leaks(texts, registry.table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_text_hash")).distinct()
+    return docs.withColumn("_text_hash", F.xxhash64("text")).join(leaks, "_text_hash", "left_anti").select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,6 +68,10 @@ STAGES = [("toxicity", drop_toxic), ("minhash", drop_near_copies), ("suffix_arra
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = registry.table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
