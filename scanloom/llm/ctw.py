@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from scanloom.llm import textbuf as tb
 from scanloom.llm.lineage import cut
 
-DEPTH = 6
+DEPTH = 5
 PAIRS = 600_000
 #: Bytes of context at the roots of the subtrees, and the runs weighed at a time.
 ROOT = 2
