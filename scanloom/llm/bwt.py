@@ -19,9 +19,12 @@ Three steps keep the work in proportion and each task's share bounded:
    eight bytes wide (a text is then eight strings, by offset), so 25 passes do.
 
 An anchor with more than ``HOT`` kinds of stretches or ``HOT_BYTES`` of them would be one
-task's; its windows are counted by hash over all tasks instead.  Stretches are taken as
-equal if their anchors, hashes and lengths agree (two hashes of 64 bits), hot windows if
-the anchor and a hash of 64 bits do.
+task's.  Its kinds go through the three steps again as texts of their own, dealt by longer
+anchors (four fifths of the way to LENGTH), so that the windows of a frequent passage fall
+into stretches that are equal and those at its borders apart.  What still has so many kinds
+is dealt by the windows themselves, of which equal ones repeat.  Stretches are taken as
+equal if their anchors, hashes and lengths agree (two hashes of 64 bits), such windows if
+their anchors and hashes do.
 
 Cases: null and empty texts and those under LENGTH bytes lose nothing; a text's own
 repeats count, overlapping ones too; rows equal in doc_id and text are copies of each
@@ -47,8 +50,8 @@ LENGTH = 200
 GRAM = 80
 #: Windows in a stretch at most; a longer one (periodic text) is cut, windows stay whole.
 STRETCH = 4096
-HOT = 20_000
-HOT_BYTES = 1 << 23
+HOT = 1000
+HOT_BYTES = 1 << 21
 SHARD_BYTES = 1 << 14
 MERGE_BYTES = 1 << 16
 SYMBOL = 8
@@ -266,8 +269,9 @@ def judged(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
         yield judge(table)
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, hot_bytes: int = HOT_BYTES) -> DataFrame:
-    """KEYS and ``at`` (starts and ends in turn) of the repeated bytes of keyed docs."""
+def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, hot_bytes: int = HOT_BYTES, again: bool = True) -> DataFrame:
+    """KEYS and ``at`` (starts and ends in turn) of the repeated bytes of keyed docs; frequent
+    anchors' kinds are dealt ``again`` by longer anchors, or else by their windows."""
     if length % SYMBOL or not SYMBOL < gram < length:
         raise ValueError(f"length must be a multiple of {SYMBOL} and gram shorter")
     every = cut(find_stretches(docs, length, gram), "stretches")
@@ -303,6 +307,25 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
     rel = "anchor long, whole long, windows int, rel array<int>"
     cold = parts.filter("not hot").select(*KIND, "known", "part").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda batches: judged(batches, length), rel)
 
+    marks = kinds.filter("n > 1").select(*KIND, F.lit(None).cast("array<int>").alias("rel")).unionByName(cold)
+    frequent = parts.filter("hot")
+    if not frequent.isEmpty():
+        marks = marks.unionByName(dealt_again(frequent, length, gram, hot, hot_bytes) if again else of_windows(frequent, length))
+    first = F.shiftright(F.col("at"), 20).cast("int")
+    spans = F.coalesce(F.transform("rel", lambda x: x + first), F.array(first, first + F.col("windows") + (length - 1)))
+    return found.join(marks, KIND).select(*KEYS, spans.alias("at")).groupBy(*KEYS).agg(F.flatten(F.collect_list("at")).alias("at"))
+
+
+def dealt_again(parts: DataFrame, length: int, gram: int, hot: int, hot_bytes: int) -> DataFrame:
+    """KIND and ``rel`` of kinds (KIND, part), taken as texts, by longer anchors."""
+    keys = [F.col("whole").alias("kid"), F.xxhash64("anchor", "windows").alias("kh")]
+    found = repeats(parts.select(F.col("part").alias("text"), *keys), length, gram + (length - gram) * 4 // 5, hot, hot_bytes, again=False)
+    return parts.select(*KIND, *keys).join(found, KEYS).select(*KIND, F.col("at").alias("rel"))
+
+
+def of_windows(parts: DataFrame, length: int) -> DataFrame:
+    """KIND and ``rel`` of kinds (KIND, part) by their windows, counted over all tasks."""
+
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, p in enumerate(tb.column(batch, "part")):
@@ -310,15 +333,9 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
                 same = [batch.column(k).take(pa.array(np.full(len(h), i))) for k in range(3)]
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *same, pa.array(np.arange(len(h), dtype=np.int32))], ["h", *KIND, "start"])
 
-    each = parts.filter("hot").select(*KIND, "part").mapInArrow(explode, "h long, anchor long, whole long, windows int, start int")
+    each = parts.select(*KIND, "part").mapInArrow(explode, "h long, anchor long, whole long, windows int, start int")
     twice = each.groupBy("anchor", "h").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", "h")
-    warm = each.join(twice, ["anchor", "h"]).groupBy(*KIND).agg(F.flatten(F.collect_list(F.array("start", F.col("start") + length))).alias("rel"))
-
-    first = F.shiftright(F.col("at"), 20).cast("int")
-    full = kinds.filter("n > 1").select(*KIND, F.lit(None).cast("array<int>").alias("rel"))
-    marks = full.unionByName(cold).unionByName(warm)
-    spans = F.coalesce(F.transform("rel", lambda x: x + first), F.array(first, first + F.col("windows") + (length - 1)))
-    return found.join(marks, KIND).select(*KEYS, spans.alias("at")).groupBy(*KEYS).agg(F.flatten(F.collect_list("at")).alias("at"))
+    return each.join(twice, ["anchor", "h"]).groupBy(*KIND).agg(F.flatten(F.collect_list(F.array("start", F.col("start") + length))).alias("rel"))
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:

@@ -48,13 +48,14 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
 
 
 def buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The column's UTF-8 bytes and its len+1 offsets into them; null is empty."""
+    """The column's UTF-8 bytes, or bytes as they are, and its len+1 offsets into them; null
+    is empty."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
-    if not pa.types.is_large_string(col.type):
-        col = col.cast(pa.large_string())
+    binary = pa.types.is_binary(col.type) or pa.types.is_large_binary(col.type)
+    col = col.cast(pa.large_binary() if binary else pa.large_string())
     if col.null_count:
-        col = col.fill_null("")
+        col = col.fill_null(b"" if binary else "")
     _, offs, data = col.buffers()
     n = len(col)
     if n == 0:
