@@ -278,12 +278,15 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
     inner = F.col("at").bitwiseAND(1)
     windows = F.shiftright(F.col("at").bitwiseAND(0xFFFFF), 1).cast("int")
     several = every.groupBy("anchor").agg(F.count("*").alias("n"), F.max(inner).alias("inner")).filter("n > 1 or inner = 1").select("anchor")
+    # Written, so that a join by a frequent anchor has nothing but rows on either side and
+    # Spark can split it.
+    several = cut(several, "several-anchors")
     found = cut(every.join(several, "anchor", "left_semi").withColumn("windows", windows), "repeated-anchors")
     drop(every)
+    drop(several)
     kinds = found.groupBy(*KIND).agg(F.count("*").alias("n"), F.max(inner).alias("inner"), F.min(F.struct(*KEYS, "at")).alias("one"))
     kinds = cut(kinds, "kinds")
-    # Written, so that a join by a frequent anchor has nothing but rows on either side and
-    # Spark can split it.
+    # Written for the same reason.
     per = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum(F.col("windows") + (length - 1)).alias("bytes"), F.max("inner").alias("any_inner")).filter("kinds > 1 or any_inner = 1")
     per = cut(per.select("anchor", ((F.col("kinds") > hot) | (F.col("bytes") > hot_bytes)).alias("hot")), "anchors")
     ends = kinds.join(per, "anchor").select(*KIND, "hot", (F.col("n") > 1).alias("known"), *(F.col(f"one.{c}").alias(c) for c in (*KEYS, "at")))
