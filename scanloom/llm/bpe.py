@@ -54,8 +54,11 @@ class Codec:
         ranks = {bytes(letters[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         made = [spec["model"]["vocab"][a + b] for a, b in merges]
-        if made != sorted(made) or spec.get("normalizer") or spec["pre_tokenizer"].get("add_prefix_space"):
+        split = spec["pre_tokenizer"] or {}
+        if made != sorted(made) or spec.get("normalizer") or split.get("add_prefix_space"):
             raise ValueError(f"{path}: ids don't follow the order of merges, or text is changed before it is split")
+        if split.get("type") != "ByteLevel" or not split.get("use_regex", True):
+            raise ValueError(f"{path}: text is not split by the pattern of byte-level BPE")
         self.core = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
         self.decimal = [str(i) for i in range(self.core.n_vocab)]
         self.longest_special = max(map(len, self.special), default=0)

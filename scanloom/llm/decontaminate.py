@@ -13,7 +13,8 @@ reaches ``PERCENT`` hundredths.
 At 0.75, two fingerprints differ in 11 of 64 bits in the mean with a deviation of 3, so
 that the radius of 27 is more than five deviations away.
 
-Items are taken in passes of ``ITEMS`` at most, so what is broadcast stays bounded.
+Items are taken in passes of about ``ITEMS`` and ``ITEM_BYTES`` at most, so what is broadcast
+stays bounded.
 
 Cases: null or empty texts and items match nothing; an item under five words has its
 whole sequence as one shingle; a document shorter than an item has one window, all of
@@ -40,6 +41,7 @@ RADIUS = 27
 PERCENT = 75
 WIDTH = 5
 ITEMS = 20_000
+ITEM_BYTES = 1 << 26
 #: Windows whose bits are summed at a time.
 BLOCK = 1 << 16
 SCHEMA = "doc_id long, item_id long, first_word long, similarity double"
@@ -199,7 +201,8 @@ def leaks_of(words: np.ndarray, offs: np.ndarray, index: Index, percent: int) ->
 def find_leaks(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, item_id, first_word, similarity), the best place of each item leaked."""
     spark = docs.sparkSession
-    passes = max(1, math.ceil(benchmark.count() / ITEMS))
+    size = benchmark.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    passes = max(1, math.ceil(size["n"] / ITEMS), math.ceil(size["bytes"] / ITEM_BYTES))
 
     def one_pass(number: int) -> DataFrame:
         sent = spark.sparkContext.broadcast(read_items(benchmark, number, passes))

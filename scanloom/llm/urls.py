@@ -92,6 +92,7 @@ def match(root: Node, host: str, path: str) -> tuple[str, str] | None:
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
     """page_id, host, path, rule that decided (null: none) and verdict of each row."""
+    build(rules)  # refuses too many before they are sent
     trie = pages.sparkSession.sparkContext.broadcast(rules)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
