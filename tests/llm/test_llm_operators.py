@@ -592,3 +592,53 @@ def test_pipeline_keeps_and_drops(spark, tmp_path):
     assert sorted(left, key=repr) == sorted(((7, odd[1][1]), (None, None), (None, None), (8, odd[6][1]), (9, copy)), key=repr)
     out = {r["doc_id"]: r["decoded_sha256"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert out == {i: hashlib.sha256((t or "").encode()).hexdigest() for i, t in texts.items()}
+
+
+CASES = "doc_id long, text string, score string, shard string, slot string, kid string, anchor string, family string, n_bytes string, at string, predicted string"
+
+
+@pytest.fixture(scope="module")
+def cases(spark):
+    """A null id, null, empty and one-word texts, repeated rows, a text of 5 MB under two ids
+    and columns whose names operators use themselves."""
+    rng = random.Random(3)
+    vocabulary = [make(rng, 1) + str(i) for i in range(20_000)]
+    long = " ".join(rng.choices(vocabulary, k=500_000))
+    texts = [(None, "a b c d e f g"), (None, None), (1, None), (2, ""), (3, long), (4, long), (5, "one"), (5, "one"), (6, "a b c d e f h")]
+    return texts, spark.createDataFrame([(*t, *["clash"] * 9) for t in texts], CASES)
+
+
+@pytest.mark.parametrize("name", ["minhash", "toxicity", "chunks", "decontaminate", "ctw", "bpe", "bwt", "sharding"])
+def test_cases(spark, cases, name):
+    texts, d = cases
+    labels = spark.createDataFrame([(2, 1, 0), (5, 1, 1), (6, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(1, "a b c d e f g"), (2, None)], "item_id long, text string")
+    run = {
+        "minhash": minhash.near_duplicates, "toxicity": lambda x: toxicity.score(x, toxicity.fit(d, labels)), "chunks": chunks.dedup,
+        "decontaminate": lambda x: decontaminate.find_leaks(x, items), "ctw": lambda x: ctw.score(x, F.col("doc_id") % 2 == 1, depth=3, pairs=1000),
+        "bpe": lambda x: bpe.encode_decode(x, registry.tokenizer_path(), digest=True), "bwt": bwt.dedup, "sharding": sharding.shard,
+    }[name]
+    got = run(d).collect()
+    assert run(d.limit(0)).count() == 0
+    if name == "decontaminate":
+        assert [(r["doc_id"], r["item_id"], r["similarity"]) for r in got] == [(None, 1, 1.0)]
+        return
+    assert sorted(str(r["doc_id"]) for r in got) == sorted(str(i) for i, _ in texts)
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r["doc_id"]].append(r)
+    size = len(texts[4][1])
+    if name == "minhash":
+        assert [by[i][0]["component_id"] for i in (1, 2, 3, 4, 5)] == [1, 2, 3, 3, 5] and not by[4][0]["kept"]
+    elif name == "toxicity":
+        assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got) and by[1][0]["score"] == by[2][0]["score"]
+    elif name == "chunks":
+        assert by[3][0]["n_removed"] == 0 and by[4][0]["n_removed"] == by[4][0]["n_bytes"] == size
+    elif name == "ctw":
+        assert all(r["score"] < 0 and r["base_score"] < 0 and r["bits_per_byte"] > 0 for r in got) and by[3][0]["score"] == by[4][0]["score"] and by[3][0]["n_tokens"] == 500_001
+    elif name == "bpe":
+        assert all(r["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest() for i, t in texts for r in by[i] if i is not None)
+    elif name == "bwt":
+        assert by[3][0]["n_removed"] == by[4][0]["n_removed"] == size and by[5][0]["n_removed"] == 0
+    else:
+        assert sum(r["size"] for r in got) == sum(len(t or "") + 1 for _, t in texts) and {r["shard"] for r in by[3]} != {r["shard"] for r in by[4]}
