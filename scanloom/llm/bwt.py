@@ -50,6 +50,8 @@ LENGTH = 200
 GRAM = 80
 #: Windows in a stretch at most; a longer one (periodic text) is cut, windows stay whole.
 STRETCH = 4096
+#: Windows of a text hashed at a time; a stretch ends with its block, windows stay whole.
+BLOCK = 1 << 20
 HOT = 1000
 HOT_BYTES = 1 << 21
 SHARD_BYTES = 1 << 14
@@ -121,9 +123,9 @@ def find_stretches(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offs = tb.buffer(batch.column(0))
-            for lo, hi in tb.groups(offs, 1 << 20):
-                text, anchor, whole, first, count, inner = _of_texts(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], length, gram)
-                at = (first << 20) | (count << 1) | inner
+            for lo, place, part, o in tb.blocks(buf, offs, BLOCK, length - 1):
+                text, anchor, whole, first, count, inner = _of_texts(part, o, length, gram)
+                at = ((place + first) << 20) | (count << 1) | inner
                 yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64)), *(batch.column(i).take(pa.array(lo + text)) for i in (1, 2)), pa.array(at)], ["anchor", "whole", *KEYS, "at"])
 
     return docs.select("text", *KEYS).mapInArrow(run, STRETCHES)

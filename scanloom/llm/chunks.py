@@ -33,6 +33,8 @@ LONGEST = 1024
 SEEN = "d1 long, d2 long, kid long, kh long, start int, length int"
 #: Bytes that a 32-bit gear hash spans: older ones have been shifted out.
 GEAR_SPAN = 32
+#: Bytes hashed at a time.
+BLOCK = 1 << 21
 
 
 def gear_table() -> np.ndarray:
@@ -59,16 +61,23 @@ def least_ahead(h: np.ndarray, n: int) -> np.ndarray:
 
 def boundaries(buf: np.ndarray, offs: np.ndarray, reach: int = REACH) -> np.ndarray:
     """Chunk ends (excluding the texts' own) in a buffer of texts."""
-    h = gear(buf).astype(np.uint64)
-    # A text's first bytes, whose hash would span the text before, can't be boundaries.
-    first = np.concatenate([[0], np.cumsum(np.bincount(offs[:-1], minlength=len(buf) + 1)[: len(buf)] > 0)])
     start = offs[:-1][np.diff(offs) > 0]
-    place = np.arange(len(buf)) - start[first[1:] - 1]
-    h[place < GEAR_SPAN - 1] = 1 << 33
     pad = np.full(reach, 1 << 33, np.uint64)
-    ahead = least_ahead(np.concatenate([h[1:], pad, pad[:1]]), reach)[: len(h)]
-    behind = least_ahead(np.concatenate([pad, h]), reach)[: len(h)]
-    return np.flatnonzero((h < behind) & (h <= ahead) & (h < 1 << 33)) + 1
+    found = [np.zeros(0, np.int64)]
+    for lo in range(0, len(buf), BLOCK):
+        hi = min(lo + BLOCK, len(buf))
+        # What a place is judged by reaches so far on either side.
+        a, b = max(0, lo - GEAR_SPAN - reach), min(len(buf), hi + reach)
+        h = gear(buf[a:b]).astype(np.uint64)
+        # A text's first bytes, whose hash would span the text before, can't be boundaries.
+        near = start[np.searchsorted(start, a - GEAR_SPAN) : np.searchsorted(start, b)]
+        early = (near[:, None] + np.arange(GEAR_SPAN - 1) - a).reshape(-1)
+        h[early[(early >= 0) & (early < b - a)]] = 1 << 33
+        ahead = least_ahead(np.concatenate([h[1:], pad, pad[:1]]), reach)[: len(h)]
+        behind = least_ahead(np.concatenate([pad, h]), reach)[: len(h)]
+        at = np.flatnonzero((h < behind) & (h <= ahead) & (h < 1 << 33)) + a
+        found.append(at[(at >= lo) & (at < hi)] + 1)
+    return np.concatenate(found)
 
 
 def chunk_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -45,6 +45,8 @@ WORDS = 1 << 18
 #: Ends a text; no byte of UTF-8 has this value.  Before a text stand zero bytes.
 END = 255
 FLUSH = 1 << 21
+#: Bytes of a text taken at a time.
+BLOCK = 1 << 21
 COUNTED = "kind int, key long, n long"
 SCORED = "row long, doc_id long, n_bytes long, n_tokens long, n_known long, base_sum double, score_sum double, rare array<long>, times array<int>, deep array<long>, deep_times array<int>"
 ROOTS = "key long, zeros double, ones double, weighted double"
@@ -118,8 +120,9 @@ def count_corpus(texts: DataFrame, depth: int = DEPTH, training=None) -> DataFra
                     part, o = buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
                     if learnt:
                         tallies[0].add(tb.words(part, o)[0])
-                    tallies[1 if learnt else 2].add(runs(*padded(part, o, depth), depth))
-                    yield from flush(FLUSH)
+                    for _, _, piece, at in tb.blocks(*padded(part, o, depth), BLOCK, depth):
+                        tallies[1 if learnt else 2].add(runs(piece, at, depth))
+                        yield from flush(FLUSH)
         yield from flush(0)
 
     learn = F.lit(True) if training is None else F.coalesce(training, F.lit(False))
@@ -495,16 +498,21 @@ def score(docs: DataFrame, training, depth: int = DEPTH, pairs: int = PAIRS, wor
                 text = np.repeat(np.arange(m), np.diff(at))
                 c = known.get(h, 0.0)
                 rare = tallied(h[c == 0], text[c == 0], m)
-                byte_runs = runs(*padded(part, o, depth), depth)
-                logs = logs_of.get(byte_runs, 1.0)
-                far = logs > 0
-                deep = tallied(byte_runs[far], np.repeat(np.arange(m), np.diff(o) + 1)[far], m)
+                score_sum, far_runs, far_texts = np.zeros(m), [], []
+                for first, _, piece, ends_at in tb.blocks(*padded(part, o, depth), BLOCK, depth):
+                    byte_runs = runs(piece, ends_at, depth)
+                    logs = logs_of.get(byte_runs, 1.0)
+                    far, sizes = logs > 0, np.diff(ends_at) - depth
+                    score_sum[first : first + len(sizes)] += np.add.reduceat(np.where(far, 0, logs).astype(np.float64), np.cumsum(sizes) - sizes)
+                    far_runs.append(byte_runs[far])
+                    far_texts.append(np.repeat(np.arange(first, first + len(sizes)), sizes)[far])
+                deep = tallied(np.concatenate(far_runs), np.concatenate(far_texts), m)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(row + np.arange(m)), batch.column(0).slice(lo, m), pa.array(np.diff(o)), pa.array(np.diff(at) + 1),
                         pa.array(np.bincount(text, c > 0, m).astype(np.int64) + int(ends > 0)),
                         pa.array(np.bincount(text, np.log10(c + 1), m) + math.log10(ends + 1)),
-                        pa.array(np.add.reduceat(np.where(far, 0, logs).astype(np.float64), o[:-1] + np.arange(m))),
+                        pa.array(score_sum),
                         *rare, *deep,
                     ],
                     ["row", "doc_id", "n_bytes", "n_tokens", "n_known", "base_sum", "score_sum", "rare", "times", "deep", "deep_times"],

@@ -75,6 +75,19 @@ def groups(offs: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
+def blocks(buf: np.ndarray, offs: np.ndarray, limit: int, lap: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """As groups(): first row, place in it, bytes and offsets; a row of more than limit + lap
+    bytes comes in blocks of them, each of which starts limit bytes after the one before."""
+    for lo, hi in groups(offs, limit + lap):
+        a, b = int(offs[lo]), int(offs[hi])
+        if b - a <= limit + lap:
+            yield lo, 0, buf[a:b], offs[lo : hi + 1] - a
+            continue
+        for at in range(0, b - a - lap, limit):
+            part = buf[a + at : min(b, a + at + limit + lap)]
+            yield lo, at, part, np.array([0, len(part)])
+
+
 def lower(buf: np.ndarray) -> np.ndarray:
     return np.where((buf >= 65) & (buf <= 90), buf + np.uint8(32), buf)
 

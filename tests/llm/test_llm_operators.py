@@ -363,8 +363,9 @@ def test_ctw_scores_by_all_contexts_whatever_is_broadcast(spark, docs, rows, mon
         b, o = tb.buffer(pa.array([r[1] for r in rows], pa.string()))
         logs = ctw.byte_log10(tree, tree.tables(), ctw.runs(*ctw.padded(b, o, depth), depth)).astype(float)
         want = np.add.reduceat(logs, o[:-1] + np.arange(len(rows)))
-        for pairs, chunk in ((10**6, 1 << 18), (50, 100)):
+        for pairs, chunk, block in ((10**6, 1 << 18, 1 << 21), (50, 100, 150)):
             monkeypatch.setattr(ctw, "CHUNK", chunk)
+            monkeypatch.setattr(ctw, "BLOCK", block)
             got = {r["doc_id"]: r["score"] for r in ctw.score(docs, train, depth=depth, pairs=pairs).collect()}
             assert max(abs(got[r[0]] - w) / max(1, abs(w)) for r, w in zip(rows, want, strict=True)) < 1e-5
 
@@ -427,8 +428,9 @@ def removed_by_brute_force(texts, length):
     return out
 
 
-@pytest.mark.parametrize(("length", "gram", "hot"), [(200, 80, 20_000), (32, 12, 20_000), (32, 12, 1)])
-def test_suffix_dedup(spark, docs, rows, length, gram, hot):
+@pytest.mark.parametrize(("length", "gram", "hot", "block"), [(200, 80, 20_000, 1 << 20), (200, 80, 20_000, 150), (32, 12, 20_000, 77), (32, 12, 1, 1 << 20)])
+def test_suffix_dedup(spark, docs, rows, monkeypatch, length, gram, hot, block):
+    monkeypatch.setattr(bwt, "BLOCK", block)
     want = removed_by_brute_force([(r[1] or "").encode() for r in rows], length)
     got = {r["doc_id"]: tuple(r)[1:] for r in bwt.dedup(docs, length, gram, hot).collect()}
     assert got == {r[0]: w for r, w in zip(rows, want, strict=True)}
@@ -443,6 +445,19 @@ def test_suffix_dedup_edges(spark):
     assert bwt.dedup_text(spark.createDataFrame([(1, None), (2, long)], "doc_id long, text string")).filter("text is null").count() == 1
 
 
+def test_long_texts_in_blocks(rows, monkeypatch):
+    b, o = tb.buffer(pa.array([r[1] for r in rows], pa.string()))
+    want = chunks.chunk_spans(b, o)
+    for limit, lap in ((1, 0), (7, 3), (500, 199), (10**6, 5)):
+        pieces = {(first + i, at): bytes(part[x:y]) for first, at, part, ends in tb.blocks(b, o, limit, lap) for i, (x, y) in enumerate(zip(ends, ends[1:], strict=False))}
+        for i in range(len(rows)):
+            text, mine = bytes(b[o[i] : o[i + 1]]), sorted(at for j, at in pieces if j == i)
+            assert all(pieces[i, at] == text[at : at + limit + lap] or mine == [0] for at in mine) and (mine == [0] or mine == list(range(0, len(text) - lap, limit)))
+            assert mine != [0] or pieces[i, 0] == text
+        monkeypatch.setattr(chunks, "BLOCK", limit + lap)
+        assert all((x == y).all() for x, y in zip(chunks.chunk_spans(b, o), want, strict=True))
+
+
 def test_merge_against_brute_force():
     rng = random.Random(1)
     for _ in range(40):
