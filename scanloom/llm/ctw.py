@@ -56,10 +56,12 @@ U = np.uint64
 
 def padded(buf: np.ndarray, offs: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Texts with ``depth`` zero bytes before and END behind each, and their offsets."""
-    n = np.diff(offs)
-    out = np.zeros(len(buf) + (depth + 1) * len(n), np.uint8)
     at = offs + (depth + 1) * np.arange(len(offs))
-    out[np.arange(len(buf)) + np.repeat((depth + 1) * np.arange(len(n)) + depth, n)] = buf
+    out, own = np.zeros(at[-1], np.uint8), np.ones(at[-1], bool)
+    for j in range(depth):
+        own[at[:-1] + j] = False
+    own[at[1:] - 1] = False
+    out[own] = buf
     out[at[1:] - 1] = END
     return out, at
 
