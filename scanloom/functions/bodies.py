@@ -18,9 +18,11 @@ PIXELS_EACH = 1_048_576
 PIXELS_ALL = 16_777_216
 MARGIN = 8
 MOST_TIERS = 6
+#: Whole numbers beyond this count as this: they break every limit, and sums of a few fit.
+LARGEST = 1 << 60
 #: Words that leave the tiers to the layout (fixed values).
 AUTOMATIC = ("", "auto", "자동")
-KINDS = (("VOID", "null"), ("BOOLEAN", "bool"), ("BIGINT", "int"), ("STRING", "string"), ("ARRAY", "list"), ("OBJECT", "object"))
+KINDS = "VO:null,BO:bool,BI:int,ST:string,AR:list,OB:object"
 
 
 def field(body: Column, key: str) -> Column:
@@ -29,9 +31,10 @@ def field(body: Column, key: str) -> Column:
 
 
 def kind(v: Column) -> Column:
-    """null, bool, int, float, string, list or object; SQL null for an absent field."""
-    names = F.create_map(*(F.lit(x) for pair in KINDS for x in pair))
-    return F.when(v.isNotNull(), F.coalesce(F.try_element_at(names, F.regexp_extract(F.schema_of_variant(v), "^[A-Z]*", 0)), F.lit("float")))
+    """null, bool, int, float, string, list or object; SQL null for an absent field.  The
+    functions below take it as ``k`` where a plan has it as a column already."""
+    name = F.substring(F.schema_of_variant(v), 1, 2)  # the types' first letters
+    return F.when(v.isNotNull(), F.coalesce(F.try_element_at(F.str_to_map(F.lit(KINDS)), name), F.lit("float")))
 
 
 def get(v: Column, type_: str) -> Column:
@@ -40,9 +43,16 @@ def get(v: Column, type_: str) -> Column:
 
 def whole_text(text: Column) -> Column:
     """A whole number written as text: blanks around it, a sign and underscores between
-    digits are taken; null for anything else."""
+    digits are taken; null for anything else.  Beyond +-LARGEST it counts as that."""
     t = S.strip(text)
-    return F.when(t.rlike(r"\A[+-]?[0-9]+(_[0-9]+)*\z"), F.replace(t, F.lit("_"), F.lit("")).try_cast("long"))
+    n = F.replace(t, F.lit("_"), F.lit(""))
+    far = F.when(t.startswith("-"), F.lit(-LARGEST)).otherwise(F.lit(LARGEST))
+    return F.when(t.rlike(r"\A[+-]?[0-9]+(_[0-9]+)*\z"), F.coalesce(_bounded(n.try_cast("long")), far))
+
+
+def _bounded(n: Column) -> Column:
+    """n no further from 0 than LARGEST; null stays null."""
+    return F.when(n > LARGEST, F.lit(LARGEST)).when(n < -LARGEST, F.lit(-LARGEST)).otherwise(n)
 
 
 def number_text(text: Column) -> Column:
@@ -51,17 +61,19 @@ def number_text(text: Column) -> Column:
     return F.when(t.rlike(r"\A[+-]?([0-9]+(_[0-9]+)*\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"), F.replace(t, F.lit("_"), F.lit("")).try_cast("double"))
 
 
-def number(v: Column, booleans: bool) -> Column:
+def number(v: Column, booleans: bool, k: Column | None = None) -> Column:
     """A number, or a text that is one, as double; true is 1 if booleans count."""
-    k = kind(v)
+    k = kind(v) if k is None else k
     as_bool = get(v, "boolean").cast("double") if booleans else F.lit(None).cast("double")
     return F.when(k.isin("int", "float"), get(v, "double")).when(k == "string", number_text(get(v, "string"))).when(k == "bool", as_bool)
 
 
 def coordinate(v: Column) -> Column:
-    """A whole number, given as such or as a float without fraction, else null."""
+    """A whole number, given as such or as a float without fraction, else null; beyond
+    +-LARGEST it counts as that."""
     x, t = get(v, "double"), F.schema_of_variant(v)
-    return F.when(t == "BIGINT", get(v, "long")).when(t.rlike("^(DECIMAL|DOUBLE|FLOAT)") & (x == F.floor(x)) & (F.abs(x) < float("inf")), x.cast("long"))
+    whole = t.rlike("^(DECIMAL|DOUBLE|FLOAT)") & (x == F.rint(x)) & (F.abs(x) < float("inf"))
+    return F.when(t == "BIGINT", _bounded(get(v, "long"))).when(whole, _bounded(x).cast("long"))
 
 
 def _filled(v: Column, k: Column) -> Column:
@@ -89,11 +101,11 @@ def file_and_page(df: DataFrame, body: str) -> DataFrame:
     return steps.withColumn("error", error).withColumn("page", F.when(F.col("page") >= 1, F.col("page"))).drop("_first", "_second", "_asked", "_k1", "_k2", "_ka", "_raw")
 
 
-def tier_count(v: Column) -> Column:
+def tier_count(v: Column, k: Column | None = None) -> Column:
     """How many tiers a request asks for: null for the layout's own, -1 for a bad value."""
-    k = kind(v)
+    k = kind(v) if k is None else k
     automatic = k.isNull() | (k == "null") | ((k == "string") & get(v, "string").isin(*AUTOMATIC))
-    n = F.when(k == "string", whole_text(get(v, "string"))).when(k == "bool", get(v, "boolean").cast("long")).when(k.isin("int", "float"), get(v, "double").cast("long"))
+    n = F.when(k == "string", whole_text(get(v, "string"))).when(k == "bool", get(v, "boolean").cast("long")).when(get(v, "double").between(1, MOST_TIERS + 1), F.floor(get(v, "double")).cast("long"))
     return F.when(automatic, F.lit(None)).when(n.between(1, MOST_TIERS), n).otherwise(F.lit(-1)).cast("int")
 
 
@@ -102,15 +114,16 @@ def with_tiers(layout: Column, n: Column) -> Column:
     return F.when(n.isNull(), layout).otherwise(layout.withField("tiers", S.tiers(n)))
 
 
-def ratio(v: Column, default: float = S.DEFAULT_RATIO) -> Column:
+def ratio(v: Column, default: float = S.DEFAULT_RATIO, k: Column | None = None) -> Column:
     """A positive finite ratio; the default if none is given; null for a bad one."""
-    x = F.when(v.isNull() | (kind(v) == "null"), F.lit(default)).otherwise(number(v, booleans=True))
+    k = kind(v) if k is None else k
+    x = F.when(v.isNull() | (k == "null"), F.lit(default)).otherwise(number(v, True, k))
     return F.when(~F.isnan(x) & (x > 0) & (x < float("inf")), x)
 
 
-def threshold(v: Column, default: float) -> Column:
+def threshold(v: Column, default: float, k: Column | None = None) -> Column:
     """A threshold of 0 to 1, truth values excluded; the default if absent; null if bad."""
-    x = F.when(v.isNull(), F.lit(default)).otherwise(number(v, booleans=False))
+    x = F.when(v.isNull(), F.lit(default)).otherwise(number(v, False, k))
     return F.when(~F.isnan(x) & x.between(0, 1), x)
 
 
@@ -140,15 +153,16 @@ def box_list(df: DataFrame, column: str) -> DataFrame:
 
     def step(a: Column, b: Column) -> Column:
         x0, y0, x1, y1 = (F.get(b, F.lit(i)) for i in range(4))
-        area = (x1 - x0 + MARGIN) * (y1 - y0 + MARGIN)
-        total = a.total + F.coalesce(area, F.lit(0))
+        # As doubles, which hold any product of four such numbers.
+        area = ((x1 - x0).cast("double") + MARGIN) * ((y1 - y0).cast("double") + MARGIN)
+        total = a.total + F.coalesce(area, F.lit(0.0))
         error = (
-            F.when(F.coalesce(F.size(b), F.lit(-1)) != 4, "shape").when((x0 + y0 + x1 + y1).isNull(), "coordinate")
+            F.when(F.coalesce(F.size(b), F.lit(-1)) != 4, "shape").when(x0.isNull() | y0.isNull() | x1.isNull() | y1.isNull(), "coordinate")
             .when(~((x0 >= 0) & (x0 < x1) & (y0 >= 0) & (y0 < y1)), "order").when((area > PIXELS_EACH) | (total > PIXELS_ALL), "limit")
         )
         return F.when(a.error.isNotNull(), a).otherwise(F.struct((a.pos + 1).alias("pos"), total.alias("total"), error.alias("error")))
 
-    start = F.struct(F.lit(-1).alias("pos"), F.lit(0).cast("long").alias("total"), F.lit(None).cast("string").alias("error"))
+    start = F.struct(F.lit(-1).alias("pos"), F.lit(0.0).alias("total"), F.lit(None).cast("string").alias("error"))
     steps = df.withColumn("_items", F.when(v.isNull(), nothing).otherwise(get(v, "array<variant>")))
     steps = steps.withColumn("_wrong", F.when(v.isNotNull() & (kind(v) != "list"), "boxes").when(F.size("_items") > MOST_BOXES, "count"))
     steps = steps.withColumn("_boxes", F.transform(F.when(F.col("_wrong").isNull(), F.col("_items")).otherwise(nothing), parsed))

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 NAME_PREFIXES = ("File:", "파일:")
 SCAN_WIDTH = 1920
 DEFAULT_RATIO = 1.0
+#: Width to which an edge is scaled, and its limits of zoom and height (fixed values).
+EDGE = 96.0
+EDGE_ZOOM = 4
+EDGE_HEIGHT = 8192
 LOCAL_HOSTS = ("localhost", "127.0.0.1", "::1")
 
 
@@ -155,6 +159,11 @@ def json_list(items: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]"))
 
 
+def canonical(v: Column) -> Column:
+    """A VARIANT as JSON, the keys of all its objects in order, so that equal values are equal texts."""
+    return F.to_json(v)
+
+
 def progress_text(done: Column, total: Column) -> Column:
     return F.concat(F.least(done, total), F.lit("/"), total, F.lit("쪽"))
 
@@ -163,10 +172,10 @@ def is_scan(path: Column) -> Column:
     return path.rlike(r"\.(jpg|png)\z")
 
 
-def edge_verdict(x0: Column, x1: Column, width: Column, height: Column, edge: float = 96.0) -> Column:
+def edge_verdict(x0: Column, x1: Column, width: Column, height: Column, edge: float = EDGE) -> Column:
     """The first rule that a requested edge breaks, in their order; 'ok' if none."""
     scale = F.lit(edge) / (x1 - x0)
     return (
-        F.when((x0 < 0) | (x0 >= x1), "order").when(scale > 4, "zoom").when(x1 > width, "width")
-        .when(F.greatest(F.lit(8.0), F.bround(height * scale)) > 8192, "height").otherwise("ok")
+        F.when((x0 < 0) | (x0 >= x1), "order").when(scale > EDGE_ZOOM, "zoom").when(x1 > width, "width")
+        .when(F.greatest(F.lit(8.0), F.bround(height * scale)) > EDGE_HEIGHT, "height").otherwise("ok")
     )

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scanloom.operators.folds import Machine, fold
+
 PIXELS_EACH = 1_048_576
 PIXELS_ALL = 16_777_216
 MARGIN = 8
@@ -127,42 +129,15 @@ def ttl_hits(log: DataFrame, key: str, seq: str, seconds: str, ttl: int) -> Data
     return ordered.select(key, seconds).mapInArrow(fold, f"`{key}` {kind}, requests long, hits long")
 
 
-def inspection_log(log: DataFrame, file: str, seq: str, event: str) -> DataFrame:
+def inspection_log(log: DataFrame, file: str, seq: str, event: str, **ranges: int) -> DataFrame:
     """Per file: requests answered running, failed and done, how often an inspection began,
     and the state at the end, from its events (request, failed, done) in order.
 
     The first request starts an inspection; a failure is told to one request, which clears
     it, so that the next one starts again; done stays.  Other events, and failed or done
-    with no inspection running, change nothing.  A fold over each file's events, which a
-    task reads as a stream.
+    with no inspection running, change nothing.
     """
-    kind = dict(log.dtypes)[file]
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, begun, told, now, starts = None, False, dict.fromkeys(("running", "failed", "done"), 0), "absent", 0
-        for batch in batches:
-            out = []
-            for f, e in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if begun and f != last:
-                    out.append((last, *told.values(), starts, now))
-                    told, now, starts = dict.fromkeys(told, 0), "absent", 0
-                last, begun = f, True
-                now, answer = inspection_step(now, e)
-                if answer:
-                    told[answer[0]] += 1
-                    starts += answer[1]
-            type_ = batch.schema.field(0).type
-            yield listed(out, type_)
-        if begun:
-            yield listed([(last, *told.values(), starts, now)], type_)
-
-    def listed(rows: list, type_) -> pa.RecordBatch:
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-        kinds = [type_, *[pa.int64()] * 4, pa.string()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [file, "running", "failed", "done", "starts", "state"])
-
-    ordered = log.select(file, seq, event).repartition(file).sortWithinPartitions(file, seq, event)
-    return ordered.select(file, event).mapInArrow(fold, f"`{file}` {kind}, running long, failed long, done long, starts long, state string")
+    return fold(log, file, [seq], event, INSPECTION, "absent", **ranges)
 
 
 def inspection_step(state: str, event: str) -> tuple[str, tuple[str, int] | None]:
@@ -174,6 +149,14 @@ def inspection_step(state: str, event: str) -> tuple[str, tuple[str, int] | None
     return (event, None) if state == "running" and event in ("failed", "done") else (state, None)
 
 
+def _counted(state: str, event: str) -> tuple[str, tuple[str, ...]]:
+    after, answer = inspection_step(state, event)
+    return after, () if answer is None else (answer[0], "starts") if answer[1] else (answer[0],)
+
+
+INSPECTION = Machine(("absent", "running", "failed", "done"), ("request", "failed", "done"), ("running", "failed", "done", "starts"), _counted)
+
+
 def with_metadata(asked: DataFrame, info: DataFrame, file: str, page: str) -> DataFrame:
     """asked with ``code`` (200, or 400) and ``reason`` (ok, missing, page): files joined to
     their metadata (file, multi, pages, template), hashed or broadcast as Spark sees fit."""
