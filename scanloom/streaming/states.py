@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from scanloom.operators.requests import inspection_step
 
 
-def event_stream(spark: SparkSession, folder: str, pattern: str = "events*.parquet") -> DataFrame:
-    """events as a stream; their zone-free times become UTC instants for watermarks."""
+def event_stream(spark: SparkSession, folder: str, pattern: str = "events*.parquet", files: int = 1000) -> DataFrame:
+    """events as a stream, so many files a batch; their zone-free times become UTC instants for watermarks."""
     schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def windowed(events: DataFrame, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
