@@ -119,10 +119,12 @@ def repeats(docs: DataFrame) -> DataFrame:
     """KEYS and ``at`` (starts and ends in turn) of the later ones of equal chunks."""
     seen = cut(seen_chunks(docs), "chunks")
     where = F.struct(*KEYS, "start")
-    often = seen.groupBy("d1", "d2").agg(F.min(where).alias("first"), F.count("*").alias("n")).filter("n > 1").select("d1", "d2", "first")
+    # Written: a join with an aggregate on the same key could not be split where a chunk is very common.
+    often = cut(seen.groupBy("d1", "d2").agg(F.min(where).alias("first"), F.count("*").alias("n")).filter("n > 1").select("d1", "d2", "first"), "common-chunks")
     extra = seen.join(often, ["d1", "d2"]).filter(where != F.col("first"))
     spans = cut(extra.groupBy(*KEYS).agg(F.flatten(F.collect_list(F.array("start", F.col("start") + F.col("length")))).alias("at")), "chunk-spans")
     drop(seen)
+    drop(often)
     return spans
 
 

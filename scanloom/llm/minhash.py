@@ -270,13 +270,15 @@ def near_duplicates(docs: DataFrame, coords: int = COORDS, matches: int = MATCHE
     reps = cut(real.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("signature").alias("signature")), "representatives")
 
     posted = reps.select("rep", F.explode("signature").alias("pair"))
-    often = posted.groupBy("pair").agg(F.count("*").alias("n")).filter("n > 1")
+    # Written, as pivots below, so that Spark can split a pair that very many documents post.
+    often = cut(posted.groupBy("pair").agg(F.count("*").alias("n")).filter("n > 1"), "often")
     lists = posted.join(often, "pair").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "pair"))).alias("pairs")).filter(F.size("pairs") >= matches)
     prefix = F.slice("pairs", F.lit(1), F.size("pairs") - (matches - 1))
     postings = cut(lists.select("rep", F.explode(prefix).alias("p")).select("rep", F.col("p.pair").alias("pair")), "postings")
 
     sa, sb = (reps.select(F.col("rep").alias(x), F.col("signature").alias(f"sig_{x}")) for x in "ab")
     pivots = postings.groupBy("pair").agg(F.min_by("rep", F.xxhash64("pair", "rep")).alias("pivot"), F.count("*").alias("n")).filter("n > 1")
+    pivots = cut(pivots, "pivots")
     tried = postings.join(pivots, "pair").filter("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
     kept = tried.join(sa, "a").join(sb, "b").filter(F.size(F.array_intersect("sig_a", "sig_b")) >= retain).select("a", "b")
     first = components(kept)

@@ -657,3 +657,32 @@ def test_cases(spark, cases, name):
         assert by[3][0]["n_removed"] == by[4][0]["n_removed"] == size and by[5][0]["n_removed"] == 0
     else:
         assert sum(r["size"] for r in got) == sum(len(t or "") + 1 for _, t in texts) and {r["shard"] for r in by[3]} != {r["shard"] for r in by[4]}
+
+
+def test_pipeline_with_clashing_columns(spark, tmp_path):
+    """Columns named like operators' own keep their values through all stages; null ids,
+    repeated rows, an empty table."""
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    clash = ["score", "predicted", "_odd", "_odd_id", "_id", "_text_hash", "_rest", "kid", "at", "c0", "a.b"]
+    leak, passage = make(rng, 40), make(rng, 90)
+    texts = [(i, make(rng, 30) + (" idiot" if i % 3 == 0 else "")) for i in range(60)] + [(None, make(rng, 20)), (None, None), (70, leak + " " + make(rng, 5)), (71, passage + make(rng, 70)), (72, make(rng, 70) + passage), (73, ""), (73, "")]
+    schema = "doc_id long, text string, n_chars long, " + ", ".join(f"`{c}` double" for c in clash)
+    d = spark.createDataFrame([(i, t, len(t or ""), *[1000.0 * (i or 0) + j for j in range(len(clash))]) for i, t in texts], schema)
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == d.columns and now.dtypes == d.dtypes
+    rows = now.collect()
+    assert sorted(str(r["doc_id"]) for r in rows) == sorted(str(i) for i, _ in texts if i is None or (i != 70 and (i >= 60 or i % 3)))
+    for r in rows:
+        assert [r[c] for c in clash] == [1000.0 * (r["doc_id"] or 0) + j for j in range(len(clash))] and r["n_chars"] == (None if r["text"] is None else len(r["text"]))
+    none = d.limit(0)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        none = stage(spark, none, str(tmp_path))
+        assert none.columns == d.columns and none.count() == 0
+    assert corpus_pipeline.encode(spark, none, str(tmp_path)).count() == 0
