@@ -16,8 +16,12 @@ UNUSABLE = "못씀"
 NOTHING_READ = "읽어 내지 못했습니다"
 
 
-def kept_lines(lines: Column, marks: list[str]) -> Column:
-    """Lines without nulls, their parallel arrays without the places of the marks."""
+def kept_lines(lines: Column, marks: list[str], surviving: Column | None = None) -> Column:
+    """Lines without nulls, their parallel arrays without the places of the marks.  With
+    ``surviving``, an array of places from 0 that edge trimming left (null: it did not run),
+    those lines alone and in that order; places that are not there give none."""
+    if surviving is not None:
+        lines = F.when(surviving.isNull(), lines).otherwise(F.transform(surviving, lambda i: F.get(lines, i)))
 
     def keep(line: Column) -> Column:
         cells = F.filter(F.arrays_zip(line.ch, line.conf, line.box), lambda z: ~z["ch"].isin(marks))
@@ -56,23 +60,42 @@ def blank_tiers(layout: Column, geometry: Column) -> Column:
     return F.when(F.coalesce(F.size(geometry.blank) > 0, F.lit(False)), own).otherwise(layout)
 
 
+def seen_layout(layout: Column, geometry: Column) -> Column:
+    """blank_tiers() with the blank tiers themselves and each tier's own ratio beside them,
+    null where there are none."""
+    some = F.coalesce(F.size(geometry.blank) > 0, F.lit(False))
+    return blank_tiers(layout, geometry).withField("blank", F.when(some, geometry.blank)).withField("tier_ratios", F.when(some, geometry.tier_ratios))
+
+
 def remapped(text: Column, candidates: Column) -> Column:
     """Candidates (start, end) in code points, in UTF-16 units."""
     return F.transform(candidates, lambda c: c.withField("start", S.utf16_offset(text, c.start)).withField("end", S.utf16_offset(text, c.end)))
 
 
-def diagnosis(file: Column, page: Column, address: Column, path: Column, image: Column, chars: Column, reason: Column) -> Column:
-    """Where a page came from, and what was read on it unless there is a reason not to."""
+def diagnosis(file: Column, page: Column, address: Column, path: Column, image: Column, chars: Column, reason: Column, **more: Column) -> Column:
+    """Where a page came from, and what was read on it unless there is a reason not to.
+
+    ``more`` adds what else is known, each under its own name: ``size`` (width, height) and
+    ``build`` always, any other (detail, attempts) beside what was read."""
     read = F.coalesce(reason, F.lit("")) == ""
     text = F.array_join(chars, "")
+    always = [more.pop(c).alias(c) for c in ("size", "build") if c in more]
     return F.struct(
         file.alias("file"), page.alias("page"), F.replace(address, F.lit("{N}"), page.cast("string")).alias("address"),
-        S.fingerprint(path).alias("cache"), S.fingerprint(image).alias("image_hash"),
-        F.when(read, F.struct(F.size(chars).cast("long").alias("count"), S.fingerprint(text).alias("hash"), text.alias("text"))).alias("ocr"),
+        S.fingerprint(path).alias("cache"), S.fingerprint(image).alias("image_hash"), *always,
+        F.when(read, F.struct(F.size(chars).cast("long").alias("count"), S.fingerprint(text).alias("hash"), text.alias("text"), *(c.alias(k) for k, c in more.items()))).alias("ocr"),
     )
 
 
-def compare_response(reason: Column, debug: Column, text: Column, candidates: Column, body: Column) -> Column:
-    """struct(reason, known, debug, body, candidates); the last two only without a reason."""
+def compare_response(reason: Column, debug: Column, text: Column, candidates: Column, body: Column, **more: Column) -> Column:
+    """struct(reason, known, debug, body, candidates) and what else the comparison found
+    (agreement, wavering, wavering_columns, geometry, title, chars, attempts, detail), each
+    under its own name; all after debug only without a reason."""
     fine = F.coalesce(reason, F.lit("")) == ""
-    return F.struct(reason.alias("reason"), F.lit(True).alias("known"), debug.alias("debug"), F.when(fine, body).alias("body"), F.when(fine, remapped(text, candidates)).alias("candidates"))
+    found = [F.when(fine, c).alias(k) for k, c in more.items()]
+    return F.struct(reason.alias("reason"), F.lit(True).alias("known"), debug.alias("debug"), F.when(fine, body).alias("body"), F.when(fine, remapped(text, candidates)).alias("candidates"), *found)
+
+
+def health(build: Column, threads: Column, cache: Column, inspected: Column, models: Column) -> Column:
+    """What the service tells of itself; models is a map of those that are there to their titles."""
+    return F.struct(build.alias("build"), threads.cast("int").alias("threads"), cache.alias("cache"), inspected.cast("long").alias("inspected"), models.alias("models"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanloom.operators.folds import Machine, fold
+from scanloom.sources.shared import written
 
 PIXELS_EACH = 1_048_576
 PIXELS_ALL = 16_777_216
@@ -18,22 +19,21 @@ MARGIN = 8
 CACHE_FILES = 1500
 CACHE_SLACK = 100
 IMAGE_SLOTS = 6
-#: Ranges in which even_sample counts places.
-RANGES = 256
+#: Characters by which short items are met in texts, where there are many of them.
+GRAM = 8
 
 
 def even_sample(df: DataFrame, group: str, order: list[str], k: int) -> DataFrame:
     """At most k rows of each group at even steps from the first, with place p of n.
 
-    Places are found on group and order alone, in about ``RANGES`` ranges of them whose
-    counts are summed up; only picked rows meet their other columns.
+    Places are found on group and order alone: laid out once in ranges of them, where a
+    group may fill many, and counted from the ranges' counts.  Only picked rows meet their
+    other columns.
     """
     by = [group, *order]
     alone = df.groupBy(*by).agg(F.count("*").alias("_rows"))
-    every = max(1, alone.count() // RANGES)
-    sampled = alone.filter(F.pmod(F.xxhash64(*by), F.lit(every)) == 0)
-    bounds = sampled.agg(F.collect_list(F.struct(*by)).alias("_bounds"))
-    ranged = alone.crossJoin(F.broadcast(bounds)).withColumn("_range", F.size(F.filter("_bounds", lambda c: c <= F.struct(*by)))).drop("_bounds")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    ranged = written(alone.repartitionByRange(parts, *by).withColumn("_range", F.spark_partition_id()), "ranges")
     within = Window.partitionBy(group, "_range").orderBy(*order)
     over = Window.partitionBy("_group")
     counts = ranged.groupBy(F.col(group).alias("_group"), F.col("_range").alias("_of")).agg(F.sum("_rows").alias("_m"))
@@ -197,11 +197,10 @@ def inspected_pages(n: Column, failing: Column) -> Column:
 
 
 def with_default(df: DataFrame, column: str, registry: DataFrame, key: str, default: str) -> DataFrame:
-    """Look a name up in a small registry (its size is checked), empty meaning default."""
-    if registry.limit(10_001).count() > 10_000:
-        raise ValueError("the registry is broadcast and holds 10,000 names at most")
+    """Look a name up in a registry, empty meaning default.  Spark broadcasts the registry if
+    it is small."""
     name = F.coalesce(F.nullif(F.col(column), F.lit("")), F.lit(default))
-    return df.withColumn(column, name).join(F.broadcast(registry), F.col(column) == registry[key], "left")
+    return df.withColumn(column, name).join(registry, F.col(column) == registry[key], "left")
 
 
 def containing(docs: DataFrame, doc: str, items: DataFrame, item: str, most_short: int = 1000) -> DataFrame:
@@ -209,19 +208,28 @@ def containing(docs: DataFrame, doc: str, items: DataFrame, item: str, most_shor
 
     An item of six words or more is met by its second to fifth words, which are whole words
     of any text that holds it; pairs of ids alone are joined, then texts are fetched for
-    them.  Shorter items are held against every text by a broadcast, ``most_short`` at most.
+    them.  Shorter items are held against every text by a broadcast where they are
+    ``most_short`` at most, and else are met by their first ``GRAM`` characters (all, if
+    fewer), which texts then give for every place.
     """
     words = lambda c: F.split(F.regexp_replace(c, r"^\s+", ""), r"\s+")
     runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("_w") - 3), lambda i: F.xxhash64(F.array_join(F.slice("_w", i, 4), " "))))
     keys = docs.withColumn("_w", words(F.col("text"))).filter(F.size("_w") > 3).select(F.col(doc).alias("_doc"), F.explode(runs).alias("_key"))
     asked = items.select(F.col(item).alias("_item"), F.col("text").alias("_expected")).withColumn("_w", words(F.col("_expected")))
-    few = asked.filter(F.size("_w") < 6)
-    if few.limit(most_short + 1).count() > most_short:
-        raise ValueError(f"items under six words are broadcast, {most_short} at most")
-    long = asked.filter(F.size("_w") >= 6).select("_item", F.xxhash64(F.array_join(F.slice("_w", 2, 4), " ")).alias("_key"))
-    pairs = keys.join(long, "_key").select("_doc", "_item").distinct()
     texts = docs.select(F.col(doc).alias("_doc"), F.col("text").alias("_text"))
-    found = pairs.join(texts, "_doc").join(asked.select("_item", "_expected"), "_item")
-    short = texts.join(F.broadcast(few.select("_item", "_expected")), F.contains("_text", "_expected"))
-    both = found.filter(F.contains("_text", "_expected")).select("_doc", "_item").union(short.select("_doc", "_item"))
+    few = asked.filter(F.size("_w") < 6).select("_item", "_expected")
+    long = asked.filter(F.size("_w") >= 6).select("_item", F.xxhash64(F.array_join(F.slice("_w", 2, 4), " ")).alias("_key"))
+    pairs = keys.join(long, "_key").select("_doc", "_item")
+    if few.limit(most_short + 1).count() <= most_short:
+        short = texts.join(F.broadcast(few), F.contains("_text", "_expected")).select("_doc", "_item")
+    else:
+        short = None
+        sizes = sorted(r[0] for r in few.select(F.least(F.length("_expected"), F.lit(GRAM)).alias("n")).distinct().collect())  # GRAM + 1 at most
+        for n in sizes:
+            places = F.sequence(F.lit(1), F.length("_text") - n + 1) if n else F.array(F.lit(1))
+            grams = texts.filter(F.length("_text") >= n).select("_doc", F.explode(F.array_distinct(F.transform(places, lambda i, n=n: F.substring("_text", i, F.lit(n))))).alias("_gram"))
+            own = few.filter(F.least(F.length("_expected"), F.lit(GRAM)) == n).select("_item", F.substring("_expected", 1, n).alias("_gram"))
+            pairs = pairs.union(written(grams, "grams").join(written(own, "item-grams"), "_gram").select("_doc", "_item"))
+    found = pairs.distinct().join(texts, "_doc").join(asked.select("_item", "_expected"), "_item").filter(F.contains("_text", "_expected")).select("_doc", "_item")
+    both = found if short is None else found.union(short)
     return both.select(F.col("_doc").alias(doc), F.col("_item").alias(item))

@@ -27,7 +27,10 @@ THRESHOLD = 0.5
 
 def case(n: Column, *values) -> Column:
     """The n-th of the values."""
-    return F.element_at(F.array(*(v if isinstance(v, Column) else F.lit(v) for v in values)), n.cast("int") + 1)
+    out = F
+    for i, v in enumerate(values):
+        out = out.when(n == i, v if isinstance(v, Column) else F.lit(v))
+    return out
 
 
 def as_body(text: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scanloom.functions import scalar as S
 from scanloom.operators import requests as Q
-from scanloom.plans import bodies, inspections, joins, levels, routes  # noqa: F401  they register their queries
+from scanloom.plans import bodies, inspections, joins, levels, pages, routes  # noqa: F401  they register their queries
 from scanloom.plans.register import ORACLE_SQL, QUERIES, query  # noqa: F401
 from scanloom.sources.tables import table
 

@@ -183,3 +183,36 @@ def test_route_takes_the_first_error(spark):
     assert {i for i, r in again.items() if r["reused"]} == {i for i, r in got.items() if r["expires"]} and all(r["answer"] == "kept" and r["expires"] is None for r in again.values() if r["reused"])
     late = route.answered(asked.withColumn("at", F.col("at") + 1_000_000), info, images, layouts, stored, models, recognise)
     assert late.filter("reused").count() == 0
+
+
+def test_short_items_without_a_broadcast(spark):
+    """Items of no, one and more characters and words, at either end, within words, repeated."""
+    rng = random.Random(12)
+    texts = [" ".join("".join(rng.choices("abé", k=rng.randint(1, 4))) for _ in range(rng.randint(0, 30))) for _ in range(60)] + ["", None, "one two three four five six seven"]
+    expected = ["", "a", "ab", "é", "ab é", "aab a", "one two three", "e two three four f", "one two three four five six", "ive six seven", "zz", None, "ab"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "d int, text string")
+    items = spark.createDataFrame(list(enumerate(expected)), "i int, text string")
+    want = sorted((d, i) for d, t in enumerate(texts) for i, e in enumerate(expected) if t is not None and e is not None and e in t)
+    for most in (1000, 0):
+        assert sorted(tuple(r) for r in Q.containing(docs, "d", items, "i", most).collect()) == want
+
+
+def test_equal_bodies_have_one_canonical_text(spark):
+    from scanloom.functions import scalar as S
+
+    bodies = ['{"b": 1, "a": {"d": [1, {"y": null, "x": "é"}], "c": 2}}', '{"a": {"c": 2, "d": [1, {"x": "é", "y": null}]}, "b": 1}', '{"a":{"c":2,"d":[{"x":"é","y":null},1]},"b":1}']
+    got = [r["c"] for r in spark.createDataFrame([(b,) for b in bodies], "b string").select(S.canonical(F.try_parse_json("b")).alias("c")).collect()]
+    assert got[0] == got[1] == '{"a":{"c":2,"d":[1,{"x":"é","y":null}]},"b":1}' != got[2]
+
+
+def test_lines_that_edge_trimming_left(spark):
+    from scanloom.operators import recognise as R
+
+    lines = "array<struct<ch:array<string>,conf:array<double>,box:array<int>>>"
+    rows = [([(["a", "."], [0.1, 0.2], [1, 2]), None, (["b"], [0.3], [3])], left) for left in (None, [2, 0], [1], [0, 9], [])]
+    df = spark.createDataFrame(rows, f"lines {lines}, left array<int>")
+    got = [["".join(x["ch"]) for x in r[0]] for r in df.select(R.kept_lines(F.col("lines"), ["."], F.col("left"))).collect()]
+    assert got == [["a", "b"], ["b", "a"], [], ["a"], []]
+    layouts = spark.createDataFrame([(([0.5], 1.0), ([], [0.25], 3.0, 2.0, [9.0])), (([0.5], 1.0), ([1], [0.25], 3.0, 2.0, [9.0])), (([0.5], 1.0), None)], "l struct<tiers:array<double>,ratio:double>, g struct<blank:array<int>,tiers:array<double>,pitch:double,xpitch:double,tier_ratios:array<double>>")
+    seen = [tuple(r["s"]) for r in layouts.select(R.seen_layout(F.col("l"), F.col("g")).alias("s")).collect()]
+    assert seen == [([0.5], 1.0, None, None), ([0.25], 1.5, [1], [9.0]), ([0.5], 1.0, None, None)]
