@@ -203,6 +203,12 @@ def with_default(df: DataFrame, column: str, registry: DataFrame, key: str, defa
     return df.withColumn(column, name).join(registry, F.col(column) == registry[key], "left")
 
 
+def _grams(text: Column, n: int) -> Column:
+    """The different runs of n characters of a text; the empty one for 0."""
+    places = F.sequence(F.lit(1), F.length(text) - n + 1) if n else F.array(F.lit(1))
+    return F.array_distinct(F.transform(places, lambda i: F.substring(text, i, F.lit(n))))
+
+
 def containing(docs: DataFrame, doc: str, items: DataFrame, item: str, most_short: int = 1000) -> DataFrame:
     """Pairs (doc, item) whose ``text`` of the document holds that of the item.
 
@@ -226,8 +232,7 @@ def containing(docs: DataFrame, doc: str, items: DataFrame, item: str, most_shor
         short = None
         sizes = sorted(r[0] for r in few.select(F.least(F.length("_expected"), F.lit(GRAM)).alias("n")).distinct().collect())  # GRAM + 1 at most
         for n in sizes:
-            places = F.sequence(F.lit(1), F.length("_text") - n + 1) if n else F.array(F.lit(1))
-            grams = texts.filter(F.length("_text") >= n).select("_doc", F.explode(F.array_distinct(F.transform(places, lambda i, n=n: F.substring("_text", i, F.lit(n))))).alias("_gram"))
+            grams = texts.filter(F.length("_text") >= n).select("_doc", F.explode(_grams(F.col("_text"), n)).alias("_gram"))
             own = few.filter(F.least(F.length("_expected"), F.lit(GRAM)) == n).select("_item", F.substring("_expected", 1, n).alias("_gram"))
             pairs = pairs.union(written(grams, "grams").join(written(own, "item-grams"), "_gram").select("_doc", "_item"))
     found = pairs.distinct().join(texts, "_doc").join(asked.select("_item", "_expected"), "_item").filter(F.contains("_text", "_expected")).select("_doc", "_item")
