@@ -2,16 +2,16 @@
 
 Every item of the benchmark has a 64-bit SimHash of its five-word shingles, weighted by
 their number.  A window of as many words as an item has stands at every word of a
-document; one that has fewer of its shingles in any item than the least similarity takes
-cannot be a leak, so all others get their SimHash.  A 64-bit fingerprint is four blocks of
-16 bits; if two fingerprints differ in at most ``RADIUS`` bits, one block differs in at
-most RADIUS // 4 of its bits, so a table of all such block values finds every fingerprint
-within the radius.  A window and an item that shares shingles with it and is within the
-radius are a leak if the exact weighted Jaccard similarity of the shingle multisets
-reaches ``PERCENT`` hundredths.
+document; one that has fewer of its shingles in all items together than the least similarity
+takes cannot be a leak, so all others get their SimHash.  A 64-bit fingerprint is eight
+blocks of 8 bits; if two fingerprints differ in at most ``RADIUS`` bits, one block differs in
+at most RADIUS // 8 of its bits.  Each item is listed under all such values of its blocks, so
+the lists of a window's eight values have every item of its size within the radius; those
+that are, and they alone, have their shingles counted.  A window and an item are a leak if
+the exact weighted Jaccard similarity of the shingle multisets reaches ``PERCENT`` hundredths.
 
 At 0.75, two fingerprints differ in 11 of 64 bits in the mean with a deviation of 3, so
-that the radius of 27 is more than five deviations away.
+that the radius of 23 is four deviations away; of unlike pairs 1.6 % are within it.
 
 Items are taken in passes of about ``ITEMS`` and ``ITEM_BYTES`` at most, so what is broadcast
 stays bounded.
@@ -26,24 +26,27 @@ table on either side gives an empty report.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scanloom.llm import textbuf as tb
 
-RADIUS = 27
+RADIUS = 23
 PERCENT = 75
 WIDTH = 5
 ITEMS = 20_000
 ITEM_BYTES = 1 << 26
-#: Windows whose bits are summed at a time.
+#: Windows whose bits are summed at a time, and pairs of a window and an item looked at at a time.
 BLOCK = 1 << 16
+PAIRS = 1 << 21
 SCHEMA = "doc_id long, item_id long, first_word long, similarity double"
 
 
@@ -85,26 +88,20 @@ class Index:
         self.sizes: dict[int, list[Item]] = {}
         for x in items:
             self.sizes.setdefault(x.n_words, []).append(x)
-        #: By number of words, all shingles of the items, sorted, and the item of each.
-        self.owners: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for n, xs in self.sizes.items():
-            h = np.concatenate([x.sorted_hashes for x in xs])
-            order = np.argsort(h)
-            self.owners[n] = h[order], np.repeat(np.arange(len(xs)), [len(x.sorted_hashes) for x in xs])[order]
-        self.known = np.unique(np.concatenate([np.zeros(0, np.uint64), *(h for h, _ in self.owners.values())]))
+        self.known = np.unique(np.concatenate([np.zeros(0, np.uint64), *(x.sorted_hashes for x in items)]))
         self.low = np.uint64((1 << max(16, (16 * len(self.known)).bit_length())) - 1)
         self.maybe = np.zeros(int(self.low) + 1, bool)
         self.maybe[self.known & self.low] = True
-        ones = np.unpackbits(np.arange(1 << 16, dtype=np.uint16).view(np.uint8).reshape(-1, 2), axis=1).sum(1)
-        values = np.arange(1 << 16)
         self.prints = {n: np.array([x.fingerprint for x in xs], np.uint64) for n, xs in self.sizes.items()}
-        self.tables: dict[int, np.ndarray] = {}
+        #: By number of words, the items listed under each of the 256 values of each block,
+        #: one list after the other, and where each begins.
+        self.lists: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        near = np.flatnonzero(np.bitwise_count(np.arange(256, dtype=np.uint8)) <= radius // 8).astype(np.uint8)
         for n, prints in self.prints.items():
-            t = np.zeros((4, 1 << 16), bool)
-            for b in range(4):
-                for v in np.unique((prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64):
-                    t[b] |= ones[values ^ v] <= radius // 4
-            self.tables[n] = t
+            values = (prints.view(np.uint8).reshape(-1, 8, 1) ^ near).astype(np.int64) + 256 * np.arange(8)[:, None]
+            place, item = values.reshape(-1), np.repeat(np.arange(len(prints)), 8 * len(near))
+            order = np.argsort(place, kind="stable")
+            self.lists[n] = item[order], np.searchsorted(place[order], np.arange(8 * 256 + 1))
 
     def in_any(self, shingles: np.ndarray) -> np.ndarray:
         """Which shingles some item has."""
@@ -114,27 +111,36 @@ class Index:
             out[some] = self.known[np.minimum(np.searchsorted(self.known, shingles[some]), len(self.known) - 1)] == shingles[some]
         return out
 
-    def sharing(self, n: int, shingles: np.ndarray) -> np.ndarray:
-        """The items of n words that have one of the shingles, by place in sizes[n]."""
-        h, owner = self.owners[n]
-        u = np.unique(shingles)
-        lo, hi = np.searchsorted(h, u), np.searchsorted(h, u, side="right")
-        many = hi - lo
-        return np.unique(owner[np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())])
-
-    def candidates(self, n: int, prints: np.ndarray, among: np.ndarray) -> Iterator[tuple[np.ndarray, Item]]:
-        """(windows, item) for all fingerprints within the radius of the items among."""
-        blocks = np.ascontiguousarray(prints).view(np.uint16).reshape(-1, 4)
-        t = self.tables[n]
-        hit = t[0].take(blocks[:, 0])
-        for b in range(1, 4):
-            hit |= t[b].take(blocks[:, b])
-        maybe = np.flatnonzero(hit)
-        some = prints[maybe]
-        for i in among:
-            near = maybe[np.bitwise_count(some ^ self.prints[n][i]) <= self.radius]
-            if len(near):
-                yield near, self.sizes[n][i]
+    def candidates(self, n: int, prints: np.ndarray) -> Iterator[tuple[np.ndarray, Item]]:
+        """(windows, item) for all of the fingerprints and the items of n words within the
+        radius of each other."""
+        items, starts = self.lists[n]
+        step = max(1, PAIRS // (2 * len(self.sizes[n])))
+        by_item: dict[int, list] = {}
+        for lo in range(0, len(prints), step):
+            part = np.ascontiguousarray(prints[lo : lo + step])
+            values = (part.view(np.uint8).reshape(-1, 8) + 256 * np.arange(8)).reshape(-1)
+            many = starts[values + 1] - starts[values]
+            listed = items[np.repeat(starts[values] - np.cumsum(many) + many, many) + np.arange(many.sum())]
+            window = np.repeat(np.repeat(np.arange(len(part)), 8), many)
+            within = np.bitwise_count(part[window] ^ self.prints[n][listed]) <= self.radius
+            pairs = np.unique(listed[within] * len(part) + window[within])
+            found, window = np.divmod(pairs, len(part))
+            for i in np.unique(found).tolist():
+                by_item.setdefault(i, []).append(lo + window[found == i])
+        for i, windows in by_item.items():
+            yield np.concatenate(windows), self.sizes[n][i]
+
+
+_held: dict[str, Index] = {}
+
+
+def _index(token: str, sent: Broadcast, radius: int) -> Index:
+    """The index of a pass, built once a worker, which holds no other."""
+    if token not in _held:
+        _held.clear()
+        _held[token] = Index(sent.value, radius)
+    return _held[token]
 
 
 def weighted_similarity(sorted_a: np.ndarray, b: np.ndarray) -> float:
@@ -171,7 +177,7 @@ def leaks_of(words: np.ndarray, offs: np.ndarray, index: Index, percent: int) ->
         lo = int(first[0])
         part = s[lo : int(last.max())]
         prints = _prints(part, first - lo, last - lo)
-        for near, item in index.candidates(size, prints, index.sharing(size, part)):
+        for near, item in index.candidates(size, prints):
             place = np.minimum(np.searchsorted(item.sorted_hashes, part), len(item.sorted_hashes) - 1)
             common = np.concatenate([[0], np.cumsum(item.sorted_hashes[place] == part)])
             near = near[enough(common[last[near] - lo] - common[first[near] - lo], len(item.sorted_hashes))]
@@ -205,10 +211,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, perc
     passes = max(1, math.ceil(size["n"] / ITEMS), math.ceil(size["bytes"] / ITEM_BYTES))
 
     def one_pass(number: int) -> DataFrame:
-        sent = spark.sparkContext.broadcast(read_items(benchmark, number, passes))
+        sent, token = spark.sparkContext.broadcast(read_items(benchmark, number, passes)), uuid.uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = Index(sent.value, radius)
+            index = _index(token, sent, radius)
             for batch in batches:
                 buf, offs = tb.buffer(batch.column(1))
                 ids, out = batch.column(0).to_pylist(), []
