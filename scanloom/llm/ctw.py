@@ -4,7 +4,8 @@ A byte is eight binary decisions, one for each place in the tree of its leading
 each decision has its own tree of contexts, the ``DEPTH`` bytes before it.  A node's
 Krichevsky-Trofimov estimate and the product of its children's weighted probabilities
 are mixed half and half, from the leaves up; a prediction mixes the estimates of all
-depths along the context's path by the resulting weights.  Training counts every run
+depths along the context's path by the resulting weights; where the path leaves the tree,
+the last node's estimate has the weight that is left.  Training counts every run
 of DEPTH + 1 bytes of all training texts in Spark, and all of them form the tree: the
 contexts that share their last ``ROOT`` bytes are a subtree, weighed as a whole in one
 task; the driver weighs what is above (of a size bounded by ROOT) and sends it back.
