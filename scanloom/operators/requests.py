@@ -98,35 +98,58 @@ def lru_keys(log: DataFrame, key: str, seq: str, slots: int = IMAGE_SLOTS) -> Da
 
 
 def ttl_hits(log: DataFrame, key: str, seq: str, seconds: str, ttl: int) -> DataFrame:
-    """Requests, hits and misses per key when a miss stores for ttl seconds from its own
-    time and a hit doesn't lengthen that: a fold over each key's ordered requests, which
-    a task reads as a stream."""
+    """Requests and hits per key when a miss stores for ttl seconds from its own time and a
+    hit doesn't lengthen that.
+
+    A request that comes ttl or more after all before it is a miss whatever was stored, and
+    so is one without a time: there a key's log is cut, and the pieces are folded apart,
+    each by a task that reads it as a stream.  A key whose requests never leave such a gap is
+    one piece.  Where the cuts are is found in ranges of (key, seq), as are places by even_sample().
+    """
     kind = dict(log.dtypes)[key]
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, requests, hits, expires = None, 0, 0, None
-        type_ = None
+        last, requests, hits, expires, type_ = None, 0, 0, None, None
         for batch in batches:
             type_, done = batch.schema.field(0).type, []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if requests and k != last:
-                    done.append((last, requests, hits))
+            for *at, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if requests and at != last:
+                    done.append((last[0], requests, hits))
                     requests, hits, expires = 0, 0, None
-                last, requests = k, requests + 1
+                last, requests = at, requests + 1
                 if t is not None and expires is not None and t < expires:
                     hits += 1
                 else:
                     expires = None if t is None else t + ttl
             yield told(done, type_)
         if requests:
-            yield told([(last, requests, hits)], type_)
+            yield told([(last[0], requests, hits)], type_)
 
     def told(done: list, type_) -> pa.RecordBatch:
         cols = list(zip(*done, strict=True)) if done else [[], [], []]
         return pa.RecordBatch.from_arrays([pa.array(cols[0], type_), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], [key, "requests", "hits"])
 
-    ordered = log.select(key, seq, F.col(seconds).cast("double").alias(seconds)).repartition(key).sortWithinPartitions(key, seq, seconds)
-    return ordered.select(key, seconds).mapInArrow(fold, f"`{key}` {kind}, requests long, hits long")
+    parts = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    rows = log.select(F.col(key).alias("_key"), F.col(seq).alias("_seq"), F.col(seconds).cast("double").alias("_t"))
+    ranged = written(rows.repartitionByRange(parts, "_key", "_seq", "_t").withColumn("_part", F.spark_partition_id()), "ranges")
+    within = Window.partitionBy("_key", "_part").orderBy("_seq", "_t")
+    before = Window.partitionBy("_of").orderBy("_in").rowsBetween(Window.unboundedPreceding, -1)
+    same = F.col("_key").eqNullSafe(F.col("_of")) & (F.col("_part") == F.col("_in"))
+    # Of a range only the first key goes on from earlier ones: a row a range is broadcast.
+    ends = ranged.groupBy(F.col("_key").alias("_of"), F.col("_part").alias("_in")).agg(F.max("_t").alias("_end"))
+    carry = ends.withColumn("_carry", F.max("_end").over(before)).filter("_carry is not null").drop("_end")
+    latest = F.greatest(F.max("_t").over(within.rowsBetween(Window.unboundedPreceding, -1)), "_carry")
+    cut = F.col("_t").isNull() | latest.isNull() | (F.col("_t") >= latest + ttl)
+    place = F.struct(F.col("_part").alias("p"), F.row_number().over(within).alias("i"))
+    marked = written(ranged.join(F.broadcast(carry), same, "left").withColumn("_cut", F.when(cut, place)).select("_key", "_seq", "_t", "_part", "_cut"), "cuts")
+    ends = marked.groupBy(F.col("_key").alias("_of"), F.col("_part").alias("_in")).agg(F.max("_cut").alias("_end"))
+    carry = ends.withColumn("_carry", F.max("_end").over(before)).filter("_carry is not null").drop("_end")
+    piece = F.coalesce(F.last("_cut", ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, 0)), "_carry")
+    pieces = marked.join(F.broadcast(carry), same, "left").select("_key", piece.alias("_piece"), "_seq", "_t")
+    pieces = pieces.select("_key", F.col("_piece.p").alias("_p"), F.col("_piece.i").alias("_i"), "_seq", "_t")
+    ordered = pieces.repartition("_key", "_p", "_i").sortWithinPartitions("_key", "_p", "_i", "_seq", "_t")
+    folded = ordered.select("_key", "_p", "_i", "_t").mapInArrow(fold, f"`{key}` {kind}, requests long, hits long")
+    return folded.groupBy(key).agg(F.sum("requests").alias("requests"), F.sum("hits").alias("hits"))
 
 
 def inspection_log(log: DataFrame, file: str, seq: str, event: str, **ranges: int) -> DataFrame:

@@ -216,3 +216,24 @@ def test_lines_that_edge_trimming_left(spark):
     layouts = spark.createDataFrame([(([0.5], 1.0), ([], [0.25], 3.0, 2.0, [9.0])), (([0.5], 1.0), ([1], [0.25], 3.0, 2.0, [9.0])), (([0.5], 1.0), None)], "l struct<tiers:array<double>,ratio:double>, g struct<blank:array<int>,tiers:array<double>,pitch:double,xpitch:double,tier_ratios:array<double>>")
     seen = [tuple(r["s"]) for r in layouts.select(R.seen_layout(F.col("l"), F.col("g")).alias("s")).collect()]
     assert seen == [([0.5], 1.0, None, None), ([0.25], 1.5, [1], [9.0]), ([0.5], 1.0, None, None)]
+
+
+def test_ttl_hits_are_cut_at_gaps(spark):
+    """A user with most requests over all ranges, long and short gaps, times out of order, null
+    times and a null user."""
+    rng, log, now = random.Random(14), [], 0
+    for i in range(1500):
+        now += rng.choice([1, 5, 20, 59, 60, 61, 300]) if rng.random() < 0.3 else 1
+        log.append((rng.choice(["hot"] * 8 + ["a", "b", None]), i, None if rng.random() < 0.02 else now - rng.choice([0, 0, 0, 30])))
+    want = {}
+    for user in {u for u, _, _ in log}:
+        expires, hits, own = None, 0, [t for u, _, t in log if u == user]
+        for t in own:
+            if t is not None and expires is not None and t < expires:
+                hits += 1
+            else:
+                expires = None if t is None else t + 60
+        want[user] = (len(own), hits)
+    df = spark.createDataFrame(rng.sample(log, len(log)), "u string, seq long, t int").repartition(3)
+    assert {r["u"]: (r["requests"], r["hits"]) for r in Q.ttl_hits(df, "u", "seq", "t", 60).collect()} == want
+    assert Q.ttl_hits(df.limit(0), "u", "seq", "t", 60).count() == 0
