@@ -224,3 +224,15 @@ def test_find_close():
                 want[stack.pop()] = i
         opens = np.flatnonzero(bits)
         assert prefixes.find_close(np.array(bits), opens).tolist() == [want[i] for i in opens.tolist()]
+
+
+def test_urls_of_odd_tables(spark):
+    """Null and empty urls, ones without a host, repeated rows, an empty table."""
+    from scanloom.llm import urls
+
+    rows = [(1, None), (2, ""), (3, "no scheme"), (4, "http://A.example.NET/en/x?y"), (4, "http://A.example.NET/en/x?y"), (None, "x://b.net"), (5, "x://b.net#/"), (6, "http://sub.org/fr/"), (7, "http://org.example/fr/")]
+    df = spark.createDataFrame([(*r, "clash", "clash") for r in rows], "page_id long, url string, host string, rule string")
+    got = Counter((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in urls.filter_urls(df).collect())
+    empty = ("", "", None, "allow")
+    assert got == Counter([(1, *empty), (2, *empty), (3, *empty), *[(4, "a.example.net", "/en/x", "example.net/en/", "allow")] * 2, (None, "b.net", "", None, "allow"), (5, "b.net", "", None, "allow"), (6, "sub.org", "/fr/", "org/fr/", "allow"), (7, "org.example", "/fr/", None, "allow")])
+    assert urls.filter_urls(df.limit(0)).count() == 0
