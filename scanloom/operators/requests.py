@@ -67,7 +67,8 @@ def page_exists(multi: Column, pages: Column, page: Column) -> Column:
 
 def box_limits(boxes: DataFrame, request: str, pos: str) -> DataFrame:
     """Per request the first box (x0, y0, x1, y1 at pos) that breaks a rule, and which."""
-    area = (F.col("x1") - F.col("x0") + MARGIN).cast("long") * (F.col("y1") - F.col("y0") + MARGIN).cast("long")
+    side = lambda low, high: F.col(high).cast("double") - F.col(low) + MARGIN  # noqa: E731  no product is too large
+    area = side("x0", "x1") * side("y0", "y1")
     running = Window.partitionBy(request).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
     reason = (
         F.when((F.col("x0") < 0) | (F.col("x0") >= F.col("x1")) | (F.col("y0") < 0) | (F.col("y0") >= F.col("y1")), "order")
