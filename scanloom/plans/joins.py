@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from scanloom.operators.asof import asof_join
 from scanloom.operators.intervals import interval_join
+from scanloom.operators.within import totals_within
 from scanloom.plans.register import query
+from scanloom.sources.shared import written
 from scanloom.sources.tables import table
 
 
@@ -61,6 +63,13 @@ def events_in_outages(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     end = F.col("ts") + F.make_dt_interval(secs=(F.round(F.col("value") * 60_000_000) / 1e6).cast("decimal(18,6)"))
     outages = events.filter("event_type = 'error'").select(F.col("event_id").alias("outage"), F.col("ts").alias("since"), end.alias("until"))
-    points = events.select("event_id", "user_id", F.col("ts").alias("at"), F.col("ts").alias("to"))
-    met = interval_join(points, outages, {}, ("at", "to"), ("since", "until"))
-    return met.groupBy("outage").agg(F.count("*").alias("events"), F.min("event_id").alias("first_event"), F.count_distinct("user_id").alias("users"))
+    # An id that several outages share (none, as ids go) is one group, in which a user counts once.
+    by_id = outages.groupBy("outage").agg(F.count("*").alias("spans"), F.min("since").alias("since"), F.min("until").alias("until"))
+    points = events.select("event_id", "user_id", F.col("ts").alias("at"))
+    single = totals_within(by_id.filter("spans = 1"), points, ("since", "until"), "at", "event_id", "user_id")
+    found = single.select("outage", F.col("n").alias("events"), F.col("least").alias("first_event"), F.col("distinct").alias("users"))
+    shared = written(by_id.filter("spans > 1").select(F.col("outage").alias("id")), "shared-ids")
+    if shared.isEmpty():
+        return found
+    met = interval_join(points.withColumn("to", F.col("at")), outages.join(shared, F.col("outage").eqNullSafe(F.col("id")), "left_semi"), {}, ("at", "to"), ("since", "until"))
+    return found.union(met.groupBy("outage").agg(F.count("*"), F.min("event_id"), F.count_distinct("user_id")))

@@ -13,6 +13,8 @@ from scanloom.operators import folds, route
 from scanloom.operators import requests as Q
 from scanloom.operators.asof import asof_join
 from scanloom.operators.intervals import interval_join
+from scanloom.operators.within import totals_within
+from scanloom.plans import joins
 
 
 def logged(events):
@@ -124,6 +126,45 @@ def test_interval_join_of_times_and_longs(spark):
     assert interval_join(longs, longs.select(F.col("s").alias("s2"), F.col("e").alias("e2")), {}, ("s", "e"), ("s2", "e2")).count() == 7
 
 
+@pytest.mark.parametrize("block_rows", [50_000, 4])
+def test_totals_within(spark, block_rows):
+    """Spans of no length to nearly all, in and over blocks; shared times, nulls, reversed ones."""
+    rng = random.Random(3)
+    points = [(rng.choice([5, rng.randrange(-40, 40), rng.randrange(-10**6, 10**6)]), rng.choice([None, *range(-3, 30)]), rng.choice([None, "a", "b", *map(str, range(20))])) for _ in range(300)] + [(None, -99, "never")]
+    spans = [(i, a, a + rng.choice([-1, 0, 1, 30, rng.randrange(2 * 10**6)])) for i in range(200) for a in [rng.choice([5, rng.randrange(-50, 50), rng.randrange(-10**6, 10**6)])]]
+    spans += [(200, -(10**7), 10**7), (201, None, 3), (202, 3, None), (203, 5, 5), (204, 5, 5)]
+    p, s = spark.createDataFrame(points, "at long, v long, who string"), spark.createDataFrame(spans, "id int, a long, b long")
+    want = []
+    for i, a, b in spans:
+        if None not in (a, b) and (inside := [x for x in points if x[0] is not None and a <= x[0] <= b]):
+            want.append((i, len(inside), min((x[1] for x in inside if x[1] is not None), default=None), len({x[2] for x in inside} - {None})))
+    times = lambda df, *names: df.withColumns({c: F.timestamp_micros(c).cast("timestamp_ntz") for c in names})
+    for points_, spans_ in ((p, s), (times(p, "at"), times(s, "a", "b"))):
+        got = totals_within(spans_, points_, ("a", "b"), "at", "v", "who", block_rows=block_rows)
+        assert sorted((r["id"], r["n"], r["least"], r["distinct"]) for r in got.collect()) == want
+    assert totals_within(s.limit(0), p, ("a", "b"), "at", "v", "who").count() == 0 and totals_within(s, p.limit(0), ("a", "b"), "at", "v", "who").count() == 0
+
+
+def test_outages_do_not_list_their_events(spark, tmp_path, monkeypatch):
+    """4,000 events of an hour, a third of them outages that last for most of it: pairs are
+    listed for the one id that two outages share, and for no other."""
+    rows = [(3 if i == 6 else i, i * 900_000, i % 50, "error" if i % 3 == 0 else "view", 40.0 + i % 7) for i in range(4000)]
+    events = spark.createDataFrame(rows, "event_id long, t long, user_id long, event_type string, value double")
+    events.select("event_id", F.timestamp_micros("t").cast("timestamp_ntz").alias("ts"), "user_id", "event_type", "value").write.parquet(f"{tmp_path}/events.parquet")
+    listed = []
+
+    def counted(points, spans, *rest):
+        listed.append(spans.count())
+        return interval_join(points, spans, *rest)
+
+    monkeypatch.setattr(joins, "interval_join", counted)
+    got = {r["outage"]: (r["events"], r["first_event"], r["users"]) for r in joins.events_in_outages(spark, str(tmp_path)).collect()}
+    assert listed == [2] and len(got) == 1333
+    for own in ([0], [3, 6], [9], [2997], [3999]):
+        inside = [(e, u) for i in own for e, t, u, _, _ in rows if rows[i][1] <= t <= rows[i][1] + round(rows[i][4] * 60_000_000)]
+        assert got[own[0]] == (len(inside), min(e for e, _ in inside), len({u for _, u in inside}))
+
+
 @pytest.mark.parametrize(
     ("boxes", "error"),
     [
