@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,9 @@ from scanloom.sources.tables import LAYOUT_VERSION, table
 from scanloom.streaming import pending, timed
 from scanloom.streaming.states import event_stream
 
+#: Files of a micro-batch: all that are there.
+EVERY_FILE = (1 << 31) - 1
+
 
 def _mean(values: Column) -> Column:
     known = F.filter(values, lambda x: x.isNotNull())
@@ -75,16 +79,16 @@ def layout_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.load(spark, path, LAYOUT_VERSION).select("file", "ratio", F.size("tiers").cast("long").alias("tiers"))
 
 
-def _files(spark: SparkSession, sf_dir: str, name: str, parts: int = 4) -> str:
-    """events as files for a stream to find.  A stream takes files in the order in which they
-    were written, so earlier events are written first."""
-    path = f"{shared_dir(spark)}/scanloom-{name}-{uuid.uuid4().hex}"
+def _fed(spark: SparkSession, sf_dir: str, path: str, parts: int = 4) -> Iterator[None]:
+    """events as files for a stream to find, a part at a time: earlier times come first, as
+    a watermark has it, and each part is written by as many tasks as read it."""
     events = table(spark, sf_dir, "events")
-    step = F.floor((F.col("event_id") - F.col("low")) * parts / (F.col("high") - F.col("low") + 1))
-    ends = events.agg(F.min("event_id").alias("low"), F.max("event_id").alias("high"))  # one row
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    low, high = events.agg(F.min(at), F.max(at)).first()
+    step = F.coalesce(F.floor((at - low) * parts / (high - low + 1)), F.lit(0)) if low is not None else F.lit(0)
     for part in range(parts):
-        events.crossJoin(ends).filter(step == part).select(events.columns).coalesce(1).write.mode("append").parquet(f"{path}/in")
-    return path
+        events.filter(step == part).write.mode("append").parquet(f"{path}/in")
+        yield
 
 
 @query("""
@@ -93,10 +97,11 @@ a AS (SELECT user_id AS file, event_id, l.ratio, CASE WHEN l.file IS NULL THEN 4
 SELECT 'answer' AS sink, file, event_id, ratio, code FROM a UNION ALL SELECT DISTINCT 'work', file, NULL::BIGINT, NULL::DOUBLE, NULL::INT FROM a WHERE code = 409""")
 def pending_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both sinks of a stream of requests, in four micro-batches."""
-    path = _files(spark, sf_dir, "pending")
+    path = f"{shared_dir(spark)}/scanloom-pending-{uuid.uuid4().hex}"
     layouts = lambda: table(spark, sf_dir, "customer").filter("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("file"), F.col("c_acctbal").alias("ratio"))
-    asked = event_stream(spark, f"{path}/in", "*.parquet", 1).select(F.col("user_id").alias("file"), "event_id")
-    pending.serve(asked, layouts, f"{path}/answers", f"{path}/work", f"{path}/checkpoint").awaitTermination()
+    for _ in _fed(spark, sf_dir, path):
+        asked = event_stream(spark, f"{path}/in", "*.parquet", EVERY_FILE).select(F.col("user_id").alias("file"), "event_id")
+        pending.serve(asked, layouts, f"{path}/answers", f"{path}/work", f"{path}/checkpoint").awaitTermination()
     answers = spark.read.parquet(f"{path}/answers").select(F.lit("answer").alias("sink"), "file", "event_id", "ratio", "code")
     return answers.union(spark.read.parquet(f"{path}/work").select(F.lit("work"), "file", F.lit(None), F.lit(None), F.lit(None)))
 
@@ -116,15 +121,15 @@ w AS (SELECT *, state = 'running' AND t + 43200000 < (SELECT max(epoch_ms(ts)) F
 SELECT user_id AS file, CASE WHEN quiet THEN 'absent' ELSE state END AS state, running, failed, done, starts, expired + quiet::INT AS expired FROM w""")
 def inspection_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each file's last state from a stream of its log; runs that are quiet for twelve hours expire."""
-    path = _files(spark, sf_dir, "inspections")
+    path = f"{shared_dir(spark)}/scanloom-inspections-{uuid.uuid4().hex}"
     kind = F.when(F.col("event_type") == "error", "failed").when((F.col("event_type") == "purchase") & (F.col("event_id") % 40 == 0), "done").when(F.col("event_type") == "purchase", "other").otherwise("request")
-    log = event_stream(spark, f"{path}/in", "*.parquet", 1).select(F.col("user_id").alias("file"), F.col("event_id").alias("seq"), "ts", kind.alias("event"))
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", timed.PROVIDER)
     try:
-        stream = timed.inspections(log, 12 * 3600)
         sink = lambda rows, n: rows.withColumn("n", F.lit(n)).write.mode("overwrite").parquet(f"{path}/states/batch={n}")
-        stream.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        for _ in _fed(spark, sf_dir, path):
+            log = event_stream(spark, f"{path}/in", "*.parquet", EVERY_FILE).select(F.col("user_id").alias("file"), F.col("event_id").alias("seq"), "ts", kind.alias("event"))
+            timed.inspections(log, 12 * 3600).writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     states = spark.read.parquet(f"{path}/states")

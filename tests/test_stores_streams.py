@@ -17,6 +17,7 @@ from conftest import REPO
 from scanloom.operators import aggregates as A
 from scanloom.operators import inspect as I  # noqa: E741
 from scanloom.operators import tables as T
+from scanloom.plans import inspections
 from scanloom.sources import store
 from scanloom.streaming import pending, timed, windows
 
@@ -214,3 +215,31 @@ def test_import_after_the_session(tmp_path):
     done = subprocess.run([sys.executable, "-c", textwrap.dedent(code)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=200)
     assert "ROWS" in done.stdout, done.stderr[-3000:]
     assert int(done.stdout.split("ROWS")[1]) > 0
+
+
+def test_copies_of_a_month_are_streamed_by_time(spark, tmp_path):
+    """Later ids at the same times again: the watermark leaves none of them out, and each part
+    is one micro-batch however many files it has."""
+    kinds = ["view", "error", "purchase", "click", "view"]
+    one = [(i, i * 5_000_000_000 + 1, i % 7, kinds[i * i % 5], 1.0, "{}") for i in range(400)]
+    rows = [*one, *((i + 400, t, u + 7, *more) for i, t, u, *more in one)]
+    events = spark.createDataFrame(rows, "event_id long, t long, user_id long, event_type string, value double, props string")
+    events.select("event_id", F.timestamp_micros("t").cast("timestamp_ntz").alias("ts"), "user_id", "event_type", "value", "props").repartition(5).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["file"]: tuple(r)[1:] for r in inspections.inspection_stream(spark, str(tmp_path)).collect()}
+    assert len(got) == 14
+
+    def folded(file):
+        state, heard, counts, own = "absent", None, [0] * 5, [x for x in rows if x[2] == file]
+        for i, t, _, kind, _, _ in own:
+            event = {"error": "failed", "purchase": "done" if i % 40 == 0 else "other"}.get(kind, "request")
+            if heard is not None and t // 1000 - heard > 43_200_000 and state == "running":
+                state, counts[4] = "absent", counts[4] + 1
+            state, names = timed.TIMED.step(state, event)
+            for name in names:
+                counts[timed.COUNTS.index(name)] += 1
+            heard = t // 1000
+        if state == "running" and heard + 43_200_000 < rows[-1][1] // 1000:
+            state, counts[4] = "absent", counts[4] + 1
+        return (state, *counts)
+
+    assert got == {file: folded(file) for file in range(14)}
