@@ -11,6 +11,9 @@ from scanloom.sources.shared import written
 GROWTH = 8.0
 #: Rows of one bin that one task takes of a side; a fuller bin is split.
 BIN_ROWS = 20_000
+#: Rows of both sides that one task joins, and those of a group of bins that are counted together.
+TASK_ROWS = 500_000
+GROUP_ROWS = 1_000
 #: Ends beyond this are placed as if they were this.
 FAR = 1e300
 
@@ -55,6 +58,11 @@ def _binned(rows: DataFrame, side: str, others: list[int]) -> DataFrame:
     return at.withColumn("_bin", F.explode(bins)).drop("_b")
 
 
+def _parts(a: DataFrame, b: DataFrame) -> int:
+    """Tasks for the rows of both (tables that were written), the session's number at least."""
+    return max(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), (a.count() + b.count()) // TASK_ROWS + 1)
+
+
 def interval_join(left: DataFrame, right: DataFrame, on: dict[str, str], left_span: tuple[str, str], right_span: tuple[str, str], closed: bool = True, bin_rows: int = BIN_ROWS) -> DataFrame:
     """All pairs of rows whose keys (``on``: columns of left to those of right; may be empty)
     are equal and whose intervals share a point: both ends belong to them if ``closed``,
@@ -75,9 +83,15 @@ def interval_join(left: DataFrame, right: DataFrame, on: dict[str, str], left_sp
     a = _measured(left, left_span, list(on), "l", closed)
     b = _measured(right, right_span, list(on.values()), "r", closed)
     homes = {side: sorted(r[0] for r in rows.select(f"_level_{side}").distinct().collect()) for side, rows in (("l", a), ("r", b))}  # a few hundred widths at most
-    a, b = _binned(a, "l", homes["r"]), _binned(b, "r", homes["l"])
-    full = a.groupBy(*place).agg(F.count("*").alias("_n"), F.lit(0).cast("long").alias("_m")).union(b.groupBy(*place).agg(F.lit(0).cast("long"), F.count("*")))
-    full = full.groupBy(*place).agg(F.ceil(F.sum("_n") / bin_rows).cast("int").alias("_pl"), F.ceil(F.sum("_m") / bin_rows).cast("int").alias("_pr")).filter("_pl > 0 and _pr > 0 and (_pl > 1 or _pr > 1)")
+    a, b = written(_binned(a, "l", homes["r"]), "binned"), written(_binned(b, "r", homes["l"]), "binned")
+    parts = _parts(a, b)
+    # Bins are nearly as many as rows, so first groups of them are counted; a full one is broadcast
+    # by its number, of which there are fewer than rows by bin_rows.
+    group = F.pmod(F.xxhash64(*place), F.lit(parts * TASK_ROWS // GROUP_ROWS + 1)).alias("_group")
+    placed = a.select(*place, group, F.lit(1).alias("_n"), F.lit(0).alias("_m")).union(b.select(*place, group, F.lit(0), F.lit(1)))
+    heavy = placed.groupBy("_group").agg(F.sum("_n").alias("_n"), F.sum("_m").alias("_m")).filter((F.col("_n") > bin_rows) | (F.col("_m") > bin_rows)).select("_group")
+    full = placed.join(F.broadcast(heavy), "_group", "left_semi").groupBy(*place).agg(F.sum("_n").alias("_n"), F.sum("_m").alias("_m"))
+    full = full.select(*place, *(F.ceil(F.col(n) / bin_rows).cast("int").alias(pieces) for n, pieces in (("_n", "_pl"), ("_m", "_pr")))).filter("_pl > 0 and _pr > 0 and (_pl > 1 or _pr > 1)")
     full = written(full, "full-bins")
     if not full.isEmpty():
 
@@ -87,10 +101,11 @@ def interval_join(left: DataFrame, right: DataFrame, on: dict[str, str], left_sp
             rows = rows.join(full, place, "left").withColumn(f"_piece{own}", F.pmod(F.xxhash64(side), pieces).cast("int"))
             return rows.withColumn(f"_piece{other}", F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1))).drop("_pl", "_pr")
 
-        a, b = dealt(a, "l", "_pl", "_pr"), dealt(b, "r", "_pr", "_pl")
+        a, b = written(dealt(a, "l", "_pl", "_pr"), "dealt"), written(dealt(b, "r", "_pr", "_pl"), "dealt")
         place = [*place, "_piece_pl", "_piece_pr"]
-    # Written, so that Spark can split what is still uneven.
-    met = written(a, "binned").join(written(b, "binned"), place)
+        parts = _parts(a, b)
+    # The number is given, so that a task sorts as many rows however many there are.
+    met = a.repartition(parts, *place).join(b.repartition(parts, *place), place)
     widest = F.greatest("_level_l", "_level_r")
     first = F.greatest(_bin(F.col("_a_l"), F.col("_level")), _bin(F.col("_a_r"), F.col("_level")))
     (la, lb), (ra, rb) = ([F.col(f"{side}.{c}") for c in span] for side, span in (("l", left_span), ("r", right_span)))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scanloom.functions import bodies as B
-from scanloom.operators import folds, route
+from scanloom.operators import folds, intervals, route
 from scanloom.operators import requests as Q
 from scanloom.operators.asof import asof_join
 from scanloom.operators.intervals import interval_join
@@ -126,6 +126,19 @@ def test_interval_join_of_times_and_longs(spark):
     assert interval_join(longs, longs.select(F.col("s").alias("s2"), F.col("e").alias("e2")), {}, ("s", "e"), ("s2", "e2")).count() == 7
 
 
+def test_interval_join_deals_by_rows(spark, monkeypatch):
+    """A task joins as many rows however many there are, with full bins and without."""
+    monkeypatch.setattr(intervals, "TASK_ROWS", 100)
+    rows = [(i // 4, float(i % 4), i % 4 + 1.5) for i in range(1200)] + [(-1, 0.0, 1.0)] * 60
+    a = spark.createDataFrame(rows, "k int, s double, e double")
+    b = a.toDF("k2", "s2", "e2")
+    for bin_rows in (20_000, 20):
+        met = interval_join(a, b, {"k": "k2"}, ("s", "e"), ("s2", "e2"), closed=False, bin_rows=bin_rows)
+        assert met.count() == 300 * (4 + 2 * 3) + 3600
+        # Each row lies in two bins at most of each of two widths.
+        assert met.rdd.getNumPartitions() >= 2 * len(rows) // 100
+
+
 @pytest.mark.parametrize("block_rows", [50_000, 4])
 def test_totals_within(spark, block_rows):
     """Spans of no length to nearly all, in and over blocks; shared times, nulls, reversed ones."""
