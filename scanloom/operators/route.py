@@ -109,7 +109,14 @@ def answered(
     and height.  Null method, path or body are no POST, no path and an empty body.
     """
     # Written, so that bodies are parsed once whatever reads the rows, and the plan's code stays small.
-    rows = written(parsed(requests.withColumns({"method": F.coalesce("method", F.lit("GET"))}), threshold), "requests")
+    # Java doesn't compile methods above this size; Spark cuts the parsing into smaller ones instead.
+    conf = requests.sparkSession.conf
+    before = conf.get("spark.sql.codegen.hugeMethodLimit")
+    conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    try:
+        rows = written(parsed(requests.withColumns({"method": F.coalesce("method", F.lit("GET"))}), threshold), "requests")
+    finally:
+        conf.set("spark.sql.codegen.hugeMethodLimit", before)
     laid, area = ("read", "compare"), ("area-read",)
     known = layouts.groupBy(F.col("file").alias("_file")).agg(F.first(F.struct("tiers", "ratio", "read_ratio")).alias("_own"))
     rows = rows.join(known, _standing(F.when(F.col("op").isin(*laid), F.col("file"))) == F.col("_file"), "left").drop("_file")

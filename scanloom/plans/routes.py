@@ -12,6 +12,8 @@ from scanloom.sources.tables import table
 
 MODELS = {"hangul": True, "hanmun": False}
 TEN_DAYS = 10 * 24 * 3600
+#: Events whose requests one task makes and parses.
+TASK_EVENTS = 25_000
 
 
 def _text(*parts) -> Column:
@@ -51,7 +53,8 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.when(k == 95, "[1]").when(k == 96, "{").otherwise(_text("{", file, page, model, fields, "}"))
     path = F.when(k == 92, "/api/none").when(F.col("event_type") == "view", "/api/read").when(F.col("event_type") == "click", "/api/compare").when(F.col("event_type") == "purchase", "/api/boxes").when(F.col("event_type") == "error", "/api/area-read").otherwise("/api/edge")
     # A file of small events is one task, and each makes a body that costs more than the event.
-    return e.repartition(i).select(i.alias("req"), F.when(k == 93, "OPTIONS").when(k == 94, "GET").otherwise("POST").alias("method"), path.alias("path"), body.alias("body"), "at")
+    # The number is given, as partitions are otherwise put together again by their bytes.
+    return e.repartition(e.count() // TASK_EVENTS + 1, i).select(i.alias("req"), F.when(k == 93, "OPTIONS").when(k == 94, "GET").otherwise("POST").alias("method"), path.alias("path"), body.alias("body"), "at")
 
 
 def stand_in(rows: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from scanloom.operators import requests as Q
 from scanloom.operators.asof import asof_join
 from scanloom.operators.intervals import interval_join
 from scanloom.operators.within import totals_within
-from scanloom.plans import joins
+from scanloom.plans import joins, routes
 
 
 def logged(events):
@@ -139,6 +139,15 @@ def test_interval_join_deals_by_rows(spark, monkeypatch):
         assert met.rdd.getNumPartitions() >= 2 * len(rows) // 100
 
 
+def test_requests_are_dealt_by_number(spark, tmp_path, monkeypatch):
+    """Small events are not put together into one task that makes and parses all bodies."""
+    monkeypatch.setattr(routes, "TASK_EVENTS", 50)
+    events = spark.range(400).selectExpr("id as event_id", "timestamp_ntz'2024-01-01 00:00:00' as ts", "id % 7 as user_id", "'view' as event_type", "1.0D as value", "'{\"k\": 3}' as props")
+    events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    asked = routes.requests(spark, str(tmp_path))
+    assert asked.count() == 400 and asked.rdd.getNumPartitions() == 9
+
+
 @pytest.mark.parametrize("block_rows", [50_000, 4])
 def test_totals_within(spark, block_rows):
     """Spans of no length to nearly all, in and over blocks; shared times, nulls, reversed ones."""
